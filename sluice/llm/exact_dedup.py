@@ -54,7 +54,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     with common.settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
                          spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
                          spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-                         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200"):
+                         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200",
+                         spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(_pattern(path))
         state = _keyed(stream, id_col, text_col, digest).groupBy("digest").agg(F.min("loc").alias("keep"), F.count(F.lit(1)).alias("n"))
         query = (
