@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import exact_dedup, packing, secret_scan, simhash, sstable
+from sluice.llm import ann, exact_dedup, packing, quality, secret_scan, simhash, sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_ann": ann.op4_ann,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_simhash": simhash.op6_simhash,
     "op7_sstable": sstable.op7_sstable,
     "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
