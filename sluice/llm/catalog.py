@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import ann, exact_dedup, packing, quality, secret_scan, simhash, sstable
+from sluice.llm import ann, exact_dedup, packing, pieces, quality, secret_scan, simhash, sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_merge_dropout": pieces.op2_merge_dropout,
     "op4_ann": ann.op4_ann,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_simhash": simhash.op6_simhash,
