@@ -6,7 +6,7 @@ import os
 from array import array
 
 #: Words kept in a worker's memory before the store is emptied and filled anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 
 
 def vocabulary(name: str) -> str:
@@ -49,15 +49,15 @@ class WordEncoder:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece by the library's own merges, each word of a piece merged once."""
-        merge, spell, words, out = self._tokenizer.model.tokenize, self._spelling, self._words, []
-        if len(words) > self._limit:
+        merge, spell, inner, words, out = self._tokenizer.model.tokenize, self._spelling, self._inner, self._words, []
+        if len(words) > self._limit // 4:
             words.clear()
         for p in pieces:
             ids = []
             for word in (p,) if p[1:].isalpha() and p[0] == " " else self._split(p):
-                if (got := words.get(word)) is None:
-                    got = array("I", [x.id for x in merge(word.encode().decode("latin-1").translate(spell))]).tobytes()
-                    words[word] = got
+                known, name = (inner, word[1:]) if word[0] == " " and word[1:].isalpha() else (words, word)
+                if (got := known.get(name)) is None:
+                    got = known[name] = array("I", [x.id for x in merge(word.encode().decode("latin-1").translate(spell))]).tobytes()
                 ids.append(got)
             out.append(ids[0] if len(ids) == 1 else b"".join(ids))
         return out
