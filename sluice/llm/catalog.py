@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import ann, exact_dedup, packing, pieces, quality, secret_scan, simhash, sstable
+from sluice.llm import ann, exact_dedup, packing, pieces, quality, secret_scan, simhash, sstable, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_simhash": simhash.op6_simhash,
     "op7_sstable": sstable.op7_sstable,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
 }
