@@ -112,17 +112,18 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     Null text counts as empty and has no spans; repeated rows are each scanned; an empty table gives
     no rows; all columns of *docs* are kept (one called secret_spans is replaced).
     """
-    keyed = docs.drop("secret_spans").withColumn("key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    found = candidates(build_index(keyed, rules, text_col), rules)
-    rows = keyed.join(found, "key", "left").withColumn("body", F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.drop("secret_spans").withColumn("_scan_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    index = build_index(keyed.select(F.col("_scan_key").alias("key"), F.col(text_col)), rules, text_col)
+    found = candidates(index, rules).select(F.col("key").alias("_scan_key"), F.col("rules").alias("_scan_rules"))
+    rows = keyed.join(found, "_scan_key", "left").withColumn("_scan_body", F.coalesce(F.col(text_col), F.lit("")))
     empty = F.array().cast(_SPAN)
     per_rule = []
     for k, r in enumerate(rules):
-        may = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+        may = F.coalesce(F.col("_scan_rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
         if trigrams.query_of(r.pattern) == trigrams.ANY:
-            may = _occurs(r.pattern, F.col("body"))
-        per_rule.append(F.when(may, _spans(k, r).cast(_SPAN)).otherwise(empty))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*per_rule))).drop("key", "rules", "body")
+            may = _occurs(r.pattern, F.col("_scan_body"))
+        per_rule.append(F.when(may, _spans(k, r, "_scan_body").cast(_SPAN)).otherwise(empty))
+    return rows.withColumn("secret_spans", F.array_sort(F.concat(*per_rule))).drop("_scan_key", "_scan_rules", "_scan_body")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
