@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
-from functools import cmp_to_key
 from typing import Any
 
 from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
+class _Placed:
+    """A value placed by a comparison (functools' own wrapper can't be sent to executors)."""
+
+    def __init__(self, value, compare) -> None:
+        self.value, self.compare = value, compare
+
+    def __lt__(self, other) -> bool:
+        return self.compare(self.value, other.value) < 0
+
+    def __gt__(self, other) -> bool:
+        return self.compare(self.value, other.value) > 0
+
+
+def _order(compare):
+    return lambda value: _Placed(value, compare)
+
+
 _POOL = ThreadPoolExecutor(max_workers=4, thread_name_prefix="sluice-async")
 
 
@@ -68,16 +84,16 @@ class Collection:
         return {k: n / fraction for k, n in self.rdd.sample(False, fraction, seed).countByValue().items()}
 
     def max_by(self, compare) -> Any:
-        return self.rdd.max(key=cmp_to_key(compare))
+        return self.rdd.max(key=_order(compare))
 
     def min_by(self, compare) -> Any:
-        return self.rdd.min(key=cmp_to_key(compare))
+        return self.rdd.min(key=_order(compare))
 
     def top_by(self, n: int, compare) -> list:
-        return self.rdd.top(n, key=cmp_to_key(compare))
+        return self.rdd.top(n, key=_order(compare))
 
     def take_ordered_by(self, n: int, compare) -> list:
-        return self.rdd.takeOrdered(n, key=cmp_to_key(compare))
+        return self.rdd.takeOrdered(n, key=_order(compare))
 
     def save_as_object_file(self, path: str) -> None:
         self.rdd.saveAsPickleFile(path)
