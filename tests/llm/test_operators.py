@@ -102,6 +102,12 @@ def test_line_dedup_exact_and_fuzzy(spark, docs, none):
     assert got[2].line_text == "short\nanother line of its own here" and got[2].n_removed == 1
     assert got[4].line_text is None and got[4].n_lines == 0 and got[5].line_text == ""
     assert line_dedup.dedup_lines(none).count() == 0
+    words = [rng.choice(WORDS) + str(k) for k in range(400)]
+    near = [*words[:200], "changed", *words[201:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]  # long: compared by words
+    kinds = spark.createDataFrame([(k, t) for k, t in rows], "a long, norm string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "x long, y long")
+    assert [(r.x, r.y) for r in line_dedup._alike(pairs, kinds, 0.8).collect()] == [(1, 2)]
     out = line_dedup.dedup_lines(docs)
     assert out.count() == len(texts()) and set(docs.columns) < set(out.columns)
 
