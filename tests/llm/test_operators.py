@@ -125,8 +125,9 @@ def test_line_links_connect_what_all_pairs_do(spark):
                 w[rng.randrange(40)] = rng.choice(WORDS)
             lines.add(" ".join(w))
     docs = spark.createDataFrame([(k, k, x) for k, x in enumerate(sorted(lines))], "d long, h long, text string")
-    kinds = common.stage(line_dedup.with_simhash(line_dedup._lines(docs)).select("a", "fp", "norm"), "kinds")
-    got = common.connected_components(line_dedup.line_links(kinds.select("a", "fp"), docs))
+    kinds = line_dedup.with_simhash(line_dedup._lines(docs)).select("a", "fp", "norm", F.struct("d", "h", "n").alias("first"))
+    kinds = common.stage(kinds, "kinds")
+    got = common.connected_components(line_dedup.line_links(kinds.drop("norm"), docs))
     rows = kinds.collect()
     fps = np.array([r.fp for r in rows], np.int64).view(np.uint64)
     i, j = np.triu_indices(len(rows), 1)
