@@ -23,9 +23,9 @@ from sluice.llm import common
 LENGTH = 50
 K = 24
 #: Bytes of text in a pack, rows in a pack, and distinct segments that one bucket gets on average.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 PACK_ROWS = 20_000
-BUCKET_SEGMENTS = 500_000
+BUCKET_SEGMENTS = 200_000
 _SLICE = (1 << 22) - 256
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -37,9 +37,9 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(97).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+    """The first *n* powers of the base and of its inverse, modulo 2**64."""
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -93,8 +93,9 @@ def segments(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
     last = inside.copy()
     last[:-1] &= first[1:] | ~inside[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _powers(len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_byte_values()[data] * up, dtype=np.uint64)))
+    up, down = _powers(max(PACK_BYTES, 1 << (len(data) - 1).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_byte_values()[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
     whole = _mix((total[hi + LENGTH] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
     return lo, hi, doc[lo], grams[anchor[lo]], whole
 
@@ -108,7 +109,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         key = key << _U(8) | wide[k : k + n]
     step = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if step == 64:
             return order
         s = key[order]
@@ -131,7 +132,7 @@ def prefix_groups(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     n = len(text)
     order = suffix_order(text)
     bwt = text[order - 1]
-    source = np.argsort(bwt, kind="stable")  # the j-th suffix is its first byte before the source[j]-th
+    source = np.argsort(bwt, kind="stable").astype(np.int32)  # the j-th suffix is its first byte before the source[j]-th
     head = bwt[source]
     border = np.zeros(n, bool)
     border[0] = True
@@ -140,7 +141,7 @@ def prefix_groups(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     for _ in range(1, length):
         if not len(open_):
             break
-        interval = np.cumsum(border)
+        interval = np.cumsum(border, dtype=np.int32)
         new = interval[source[open_]] != interval[source[open_ - 1]]
         border[open_[new]] = True
         open_ = open_[~new]
@@ -403,9 +404,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = common.stage(table.mapInArrow(_packer, "pack long, ids binary, nulls binary, lens binary, text binary, size long"), "packs")
     size = packs.agg(F.sum("size")).first()[0] or 0
     buckets = int(max(12, -(-2 * size // ((LENGTH - K + 2) * BUCKET_SEGMENTS))))
-    sent = packs.mapInArrow(_send(buckets), _SENT)
+    # as many tasks as buckets: adaptive execution would join buckets by their few bytes, not by their work
+    sent = packs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket")
     replies = common.stage(sent.groupBy("bucket").applyInArrow(_judge, _REPLY), "replies")
-    asked = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_answer(buckets), _BYTES)
+    asked = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_answer(buckets), _BYTES).repartition(buckets, "bucket")
     masks = common.stage(asked.groupBy("bucket").applyInArrow(_compare, _MASKS), "masks")
     told = replies.select("pack", "anchor", "whole", "least", F.lit(None).cast("binary").alias("mask")).unionByName(
         masks.select("pack", "anchor", "whole", F.lit(None).cast("binary").alias("least"), "mask")
