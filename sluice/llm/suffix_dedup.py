@@ -221,11 +221,25 @@ class _Pack:
         self.kind = np.empty(len(order), np.int64)
         self.kind[order] = np.cumsum(new) - 1
 
-    def find(self, anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """Numbers of the distinct segments with these hashes, all of which the pack holds."""
-        mine, asked = (_mix(a) + w for a, w in ((self.anchor[self.first], self.whole[self.first]), (anchor, whole)))
-        order = np.argsort(mine)
-        return order[np.searchsorted(mine[order], asked)]
+    def numbers(self, buckets: int) -> dict[int, np.ndarray]:
+        """For each bucket the numbers of the distinct segments that it gets, in the order in which it gets them."""
+        return dict(_by_bucket(self.anchor[self.first], buckets))
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The low six bytes of each hash (a bucket knows its anchors' high bits)."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _rows(batch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield from batch.slice(k, 1).to_pylist()
 
 
 def _blobs(names: list[str], rows: list[tuple]):
@@ -236,9 +250,9 @@ def _blobs(names: list[str], rows: list[tuple]):
 
 
 _SENT = "bucket int, pack long, anchor binary, whole binary, least binary"
-_REPLY = "pack long, anchor binary, whole binary, least binary, ask binary"
-_BYTES = "bucket int, pack long, anchor binary, whole binary, least binary, lens binary, bytes binary"
-_MASKS = "pack long, anchor binary, whole binary, mask binary"
+_REPLY = "bucket int, pack long, pos binary, least binary, ask binary"
+_BYTES = "bucket int, pack long, pos binary, least binary, lens binary, bytes binary"
+_MASKS = "bucket int, pack long, pos binary, mask binary"
 
 
 def _by_bucket(anchor: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -256,10 +270,10 @@ def _send(buckets: int):
 
         names = [x.split()[0] for x in _SENT.split(", ")]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 p = _Pack(row)
                 a, w, d = p.anchor[p.first], p.whole[p.first], p.doc[p.first]
-                rows = [(b, p.pack, a[i].tobytes(), w[i].tobytes(), d[i].tobytes()) for b, i in _by_bucket(a, buckets)]
+                rows = [(b, p.pack, _short(a[i]), _short(w[i]), d[i].tobytes()) for b, i in p.numbers(buckets).items()]
                 yield pa.RecordBatch.from_arrays(_blobs(names, rows), names=names)
 
     return run
@@ -271,9 +285,11 @@ def _judge(table):
 
     names = [x.split()[0] for x in _REPLY.split(", ")]
     col = {n: table.column(n).to_pylist() for n in ("pack", "anchor", "whole", "least")}
-    a, w = (np.frombuffer(b"".join(col[n]), np.uint64) for n in ("anchor", "whole"))
+    a, w = (_long(b"".join(col[n])) for n in ("anchor", "whole"))
     d = np.frombuffer(b"".join(col["least"]), np.int64)
-    pack = np.repeat(np.array(col["pack"], np.int64), [len(x) // 8 for x in col["anchor"]])
+    sizes = [len(x) // 8 for x in col["least"]]
+    pack = np.repeat(np.array(col["pack"], np.int64), sizes)
+    pos = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
     order = np.argsort(a)
     s = a[order]
     twin = np.zeros(len(s), bool)
@@ -281,7 +297,7 @@ def _judge(table):
     twin[:-1] |= twin[1:]
     at = order[twin]  # anchors that come once have nothing to share
     at = at[np.lexsort((d[at], w[at], a[at]))]
-    a, w, d, pack = a[at], w[at], d[at], pack[at]
+    a, w, d, pack, pos = a[at], w[at], d[at], pack[at], pos[at]
     if not len(a):
         return pa.table(_blobs(names, []), names=names)
     new_a = np.ones(len(a), bool)
@@ -294,11 +310,11 @@ def _judge(table):
     differ = np.minimum.reduceat(d, np.flatnonzero(new_a))[anc] < np.maximum.reduceat(d, np.flatnonzero(new_a))[anc]
     ask = several & differ & (d == least)
     told = ask | (least < d)
-    rows = []
-    a, w, least, ask, pack = a[told], w[told], least[told], ask[told].astype(np.uint8), pack[told]
-    order = np.argsort(pack, kind="stable")
+    rows, bucket = [], table.column("bucket")[0].as_py()
+    pos, least, ask, pack = pos[told], least[told], ask[told].astype(np.uint8), pack[told]
+    order = np.lexsort((pos, pack))
     for i in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1) if len(order) else []:
-        rows.append((int(pack[i[0]]), a[i].tobytes(), w[i].tobytes(), least[i].tobytes(), ask[i].tobytes()))
+        rows.append((bucket, int(pack[i[0]]), pos[i].tobytes(), least[i].tobytes(), ask[i].tobytes()))
     return pa.table(_blobs(names, rows), names=names)
 
 
@@ -309,16 +325,17 @@ def _answer(buckets: int):
         import pyarrow as pa
 
         names, rows = [x.split()[0] for x in _BYTES.split(", ")], []
-        for row in packs.to_pylist():
+        wanted = [r for r in _rows(replies) if any(r["ask"])]
+        for row in _rows(packs) if wanted else ():
             p = _Pack(row)
-            a, w = (np.frombuffer(b"".join(replies.column(n).to_pylist()), np.uint64) for n in ("anchor", "whole"))
-            least, ask = np.frombuffer(b"".join(replies.column("least").to_pylist()), np.int64), np.frombuffer(b"".join(replies.column("ask").to_pylist()), np.uint8) > 0
-            a, w, least = a[ask], w[ask], least[ask]
-            run_ = p.first[p.find(a, w)] if len(a) else np.zeros(0, np.int64)
-            for b, i in _by_bucket(a, buckets):
-                lo, hi = p.lo[run_[i]], p.hi[run_[i]] + LENGTH
+            numbers = p.numbers(buckets)
+            for r in wanted:
+                ask = np.frombuffer(r["ask"], np.uint8) > 0
+                pos, least = np.frombuffer(r["pos"], np.uint32)[ask], np.frombuffer(r["least"], np.int64)[ask]
+                at = p.first[numbers[r["bucket"]][pos]]
+                lo, hi = p.lo[at], p.hi[at] + LENGTH
                 raw = b"".join(p.data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist()))
-                rows.append((b, p.pack, a[i].tobytes(), w[i].tobytes(), least[i].tobytes(), (hi - lo).tobytes(), raw))
+                rows.append((r["bucket"], p.pack, pos.tobytes(), least.tobytes(), (hi - lo).tobytes(), raw))
         return pa.table(_blobs(names, rows), names=names)
 
     return run
@@ -339,24 +356,25 @@ def _compare(table):
         m, at = mask[at : at + n], at + n
         keep = m > 0
         if keep.any():
-            out.append((r["pack"], *(np.frombuffer(r[c], np.uint64)[keep].tobytes() for c in ("anchor", "whole")), m[keep].tobytes()))
+            out.append((r["bucket"], r["pack"], np.frombuffer(r["pos"], np.uint32)[keep].tobytes(), m[keep].tobytes()))
     return pa.table(_blobs(names, out), names=names)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _apply(with_text: bool):
+def _apply(buckets: int, with_text: bool):
     def run(packs, replies):
         import pyarrow as pa
 
         out = []
-        for row in packs.to_pylist():
+        for row in _rows(packs):
             p = _Pack(row)
+            numbers = p.numbers(buckets)
             least = p.doc[p.first].copy()
             masks = np.zeros(len(p.first), np.int64)
-            for r in replies.to_pylist():
-                kind = p.find(np.frombuffer(r["anchor"], np.uint64), np.frombuffer(r["whole"], np.uint64))
+            for r in _rows(replies):
+                kind = numbers[r["bucket"]][np.frombuffer(r["pos"], np.uint32)]
                 if r["mask"] is None:
                     least[kind] = np.frombuffer(r["least"], np.int64)
                 else:
@@ -406,13 +424,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = int(max(12, -(-2 * size // ((LENGTH - K + 2) * BUCKET_SEGMENTS))))
     # as many tasks as buckets: adaptive execution would join buckets by their few bytes, not by their work
     sent = packs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket")
-    replies = common.stage(sent.groupBy("bucket").applyInArrow(_judge, _REPLY), "replies")
-    asked = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_answer(buckets), _BYTES).repartition(buckets, "bucket")
-    masks = common.stage(asked.groupBy("bucket").applyInArrow(_compare, _MASKS), "masks")
-    told = replies.select("pack", "anchor", "whole", "least", F.lit(None).cast("binary").alias("mask")).unionByName(
-        masks.select("pack", "anchor", "whole", F.lit(None).cast("binary").alias("least"), "mask")
-    )
-    return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_apply(with_text), _RESULT + ", kept binary" * with_text)
+    with common.settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4"):  # a row is a pack
+        replies = common.stage(sent.groupBy("bucket").applyInArrow(_judge, _REPLY), "replies")
+        del sent
+        asked = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_answer(buckets), _BYTES).repartition(buckets, "bucket")
+        masks = common.stage(asked.groupBy("bucket").applyInArrow(_compare, _MASKS), "masks")
+        del asked
+        told = replies.select("bucket", "pack", "pos", "least", F.lit(None).cast("binary").alias("mask")).unionByName(
+            masks.select("bucket", "pack", "pos", F.lit(None).cast("binary").alias("least"), "mask")
+        )
+        done = packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_apply(buckets, with_text), _RESULT + ", kept binary" * with_text)
+        return common.stage(done, "kept")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
