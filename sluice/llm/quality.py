@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     sample = rows.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, ids binary, share binary")
-    got = sorted(((r["doc_id"], r["y"], r["ids"], r["share"]) for r in sample.toLocalIterator()), key=lambda r: (r[0], r[2]))
+    got = sorted(((r["doc_id"], r["y"], r["ids"], r["share"]) for r in sample.collect()), key=lambda r: (r[0], r[2]))
     return train([(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(s, "<f4")) for _, _, i, s in got], [y for _, y, _, _ in got])
 
 
