@@ -26,7 +26,9 @@ PRIOR = 60
 #: Features that a word right after itself adds (a word bigram whose parts are equal).
 REPEAT = 8
 #: Words whose parts a worker keeps before it forgets them.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Texts scored together.
+_ROWS = 500
 
 
 def held_out(doc_id: Column) -> Column:
@@ -34,11 +36,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features(word: str, buckets: int = BUCKETS, ngram: tuple[int, int] = NGRAM) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marks for its start and end."""
-    marked = f"<{word}>"
-    parts = {marked[i : i + n] for n in range(ngram[0], ngram[1] + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % buckets] + [zlib.crc32(b"g" + p.encode("utf-8", "surrogatepass")) % buckets for p in sorted(parts)]
+def features(words: list[str], buckets: int = BUCKETS, ngram: tuple[int, int] = NGRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams (with marks for its start and end), and whose each is."""
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    ids = [np.fromiter((zlib.crc32(b"w" + w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))]
+    whose, rolled = [np.arange(len(words))], points.copy()
+    for n in range(2, ngram[1] + 1):
+        if len(rolled) < 2:
+            break
+        rolled = rolled[:-1] * np.uint64(0x100000001B3) + points[n - 1 :]
+        if n >= ngram[0]:
+            at = np.flatnonzero(np.arange(len(rolled)) + n <= ends[owner[: len(rolled)]])
+            h = (rolled[at] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            ids.append((h >> np.uint64(32)).astype(np.int64) % buckets)
+            whose.append(owner[at])
+    return np.concatenate(ids), np.concatenate(whose)
 
 
 def repeat_bucket(buckets: int = BUCKETS) -> int:
@@ -52,12 +68,12 @@ def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     twice = REPEAT * sum(map(eq, words, words[1:]))
-    found: dict[int, int] = {repeat_bucket(buckets): twice} if twice else {}
-    for w, n in counts.items():
-        for f in features(w, buckets):
-            found[f] = found.get(f, 0) + n
-    ids = np.fromiter(found.keys(), np.int64, len(found))
-    share = np.fromiter(found.values(), np.float32, len(found))
+    found, whose = features(list(counts), buckets)
+    times = np.fromiter(counts.values(), np.float64, len(counts))[whose]
+    if twice:
+        found, times = np.append(found, repeat_bucket(buckets)), np.append(times, twice)
+    ids, place = np.unique(found, return_inverse=True)
+    share = np.bincount(place, weights=times, minlength=len(ids)).astype(np.float32)
     return ids, share / (PRIOR + share.sum())
 
 
@@ -145,21 +161,39 @@ class Scorer:
         self._parts: dict[str, complex] = {}
         self._repeat = complex(REPEAT * float(weights[repeat_bucket(len(weights))]), REPEAT)
 
-    def _learn(self, word: str) -> complex:
-        ids = features(word, len(self._weights))
-        part = complex(float(self._weights[ids].sum(dtype=np.float64)), len(ids))
-        if len(self._parts) >= CACHE_WORDS:
+    def _learn(self, words: list[str]) -> None:
+        ids, whose = features(words, len(self._weights))
+        total = np.bincount(whose, weights=self._weights[ids], minlength=len(words))
+        parts = total + 1j * np.bincount(whose, minlength=len(words))
+        if len(self._parts) + len(words) > CACHE_WORDS:
             self._parts.clear()
-        self._parts[word] = part
-        return part
+        self._parts.update(zip(words, parts.tolist()))
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
         """Between 0 and 1; for a text without words what the constant part says."""
-        get, learn = self._parts.get, self._learn
-        words = (text or "").split()
-        both = sum([get(w) or learn(w) for w in words], self._repeat * sum(map(eq, words, words[1:])))
-        z = self._bias + both.real / (both.imag + PRIOR)
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        out = []
+        for k in range(0, len(texts), _ROWS):
+            split = [(t or "").split() for t in texts[k : k + _ROWS]]
+            new = set().union(*split)
+            lack = list(new - self._parts.keys())
+            if len(self._parts) + len(lack) > CACHE_WORDS:
+                lack = list(new)
+            if lack:
+                self._learn(lack)
+            get = self._parts.__getitem__
+            for words in split:
+                both = sum(map(get, words), self._repeat * sum(map(eq, words, words[1:])))
+                z = self._bias + both.real / (both.imag + PRIOR)
+                out.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))))
+        return out
+
+
+def _scorer(sent, _kept: dict = {}) -> Scorer:  # noqa: B006
+    """This worker process's scorer for a broadcast model; its words serve all the worker's tasks."""
+    model = sent.value
+    if _kept.get("bias") != model[1] or not np.array_equal(_kept["weights"], model[0]):
+        _kept.update(weights=model[0], bias=model[1], scorer=Scorer(*model))
+    return _kept["scorer"]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,9 +208,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(*sent.value)
+        scorer = _scorer(sent)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -191,9 +225,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(*sent.value)
+        scorer = _scorer(sent)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([x >= threshold for x in scorer.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

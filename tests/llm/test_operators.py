@@ -354,7 +354,7 @@ def test_quality(spark, docs, none):
     assert kept.columns == docs.columns
     assert quality.score(none, model).count() == 0 and quality.keep_good(none, model).count() == 0
     only = quality.train([quality.bag("a b")], [1])
-    assert quality.Scorer(*only.weights()).score("") > 0.7
+    assert quality.Scorer(*only.weights()).scores(["", None])[1] > 0.7
 
 
 def test_connected_components(spark):
