@@ -18,12 +18,11 @@ MOST_LISTS = 4096
 #: A vector also joins lists whose centroid is at most this much farther than the nearest, up to REPLICAS.
 CLOSURE = 0.15
 REPLICAS = 4
-#: A query reads the lists whose centroid is at most this much farther than the nearest, up to PROBES.
+#: A query reads all lists whose centroid is at most this much farther than the nearest.
 PROBE_RATIO = 0.5
-PROBES = 64
 DEGREE = 16
 BEAM = 80
-#: Rows of a list that one task reads; longer lists are dealt out.
+#: Rows that one task reads: lists are put together up to so many, longer ones are dealt out.
 SHARD_ROWS = 20_000
 
 
@@ -123,8 +122,8 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
-def _assigner(sent, closure: float, most: int, prune: bool):
-    """Adds ``lists`` to batches whose last column is the vector."""
+def _assigner(sent):
+    """Adds ``lists`` to batches whose last column is the vector: the nearest list, and others up to REPLICAS."""
 
     def run(batches):
         import pyarrow as pa
@@ -133,30 +132,70 @@ def _assigner(sent, closure: float, most: int, prune: bool):
             points, out = _matrix(batch.column(batch.num_columns - 1)).astype(np.float32), []
             graph = sent.value
             for k in range(0, len(points), 512):
-                ids, dist = graph.search(points[k : k + 512], most if not prune else 2 * most)
+                ids, dist = graph.search(points[k : k + 512], 2 * REPLICAS)
                 for i, d in zip(ids, dist):
-                    ok = (d <= (1 + closure) * d[0] + 1e-9) & (i >= 0)
-                    if prune:  # a list beside a nearer chosen one adds nothing
-                        chosen: list[int] = []
-                        for c, x in zip(i[ok], d[ok]):
-                            if len(chosen) < most and all(((graph.centroids[c] - graph.centroids[o]) ** 2).sum() > x * x for o in chosen):
-                                chosen.append(int(c))
-                        out.append(chosen)
-                    else:
-                        out.append(i[ok].tolist())
+                    ok = (d <= (1 + CLOSURE) * d[0] + 1e-9) & (i >= 0)
+                    chosen: list[int] = []
+                    for c, x in zip(i[ok], d[ok]):  # a list beside a nearer chosen one adds nothing
+                        if len(chosen) < REPLICAS and all(((graph.centroids[c] - graph.centroids[o]) ** 2).sum() > x * x for o in chosen):
+                            chosen.append(int(c))
+                    out.append(chosen)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
     return run
 
 
+def _groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its group and the group's shards: neighbours up to SHARD_ROWS rows together, longer lists alone."""
+    group, shards = np.zeros(len(sizes), np.int32), np.maximum(1, -(-sizes // SHARD_ROWS)).astype(np.int32)
+    at, rows = 0, 0
+    for c, m in enumerate(sizes.tolist()):
+        if rows and rows + m > SHARD_ROWS:
+            at, rows = at + 1, 0
+        group[c] = at
+        rows += m
+    return group, shards
+
+
+def _prober(sent, ratio: float, least: int):
+    """Rows (rep, v, group, lists) of batches (rep, v): the lists that a query reads, by their groups.
+
+    Those are all within *ratio* of the nearest centroid's distance, and further ones until the lists
+    are the nearest ones of *least* rows.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            points, at, groups, lists = _matrix(batch.column(1)).astype(np.float64), [], [], []
+            centroids, group, own = sent.value
+            for k in range(0, len(points), 512):
+                dist = np.sqrt(_squares(points[k : k + 512], centroids))
+                for i, d in enumerate(dist):
+                    order = np.argsort(d, kind="stable")
+                    n = max(np.searchsorted(d[order], (1 + ratio) * d[order[0]] + 1e-9, "right"), np.searchsorted(np.cumsum(own[order]), least) + 1)
+                    read = np.sort(order[:n])
+                    cuts = np.flatnonzero(np.diff(group[read])) + 1
+                    for part in np.split(read, cuts):
+                        at.append(k + i)
+                        groups.append(int(group[part[0]]))
+                        lists.append(part.tolist())
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "v", "group", "lists"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-            sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, probe_ratio: float = PROBE_RATIO, probes: int = PROBES) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, probe_ratio: float = PROBE_RATIO) -> DataFrame:
     """The *k* nearest found of each query among *vectors*: query_id, rank, vec_id, score (Euclidean).
 
     Centroids of balanced clusters are fitted on a bounded sample and joined by a graph that every
     task holds (at most MOST_LISTS centroids).  Every row goes to the list of its nearest centroid, and a row near
-    a border to further ones.  A query reads the lists that the graph search finds within a ratio of the nearest
-    centroid's distance.  Lists are dealt to tasks in shards of bounded size and meet their queries there.
+    a border to further ones.  A query is held against all centroids and reads every list within a ratio of the nearest
+    one's distance, and further lists until they have *k* rows besides its own.  Groups of lists are dealt to
+    tasks in shards of bounded size and meet their queries there.
     Copies of a vector beyond the k + 1 with the smallest ids can't be among the k nearest and aren't
     compared; equal queries are searched once.  Rows that are null, zero, not finite, or of another
     length than most take no part; a query's own id never is its neighbour; ties go to the smaller
@@ -174,39 +213,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     sample = table.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     points = _matrix(sample.column("v")).astype(np.float32)
     lists = int(min(MOST_LISTS, max(1, n // list_rows), max(1, len(points) // 4)))
-    sent = spark.sparkContext.broadcast(Graph.build(balanced_centroids(points, lists)))
+    graph = Graph.build(balanced_centroids(points, lists))
+    sent = spark.sparkContext.broadcast(graph)
 
     copies = Window.partitionBy("v").orderBy("vec_id")
     ranked = table.withColumn("copy", F.row_number().over(copies)).select("vec_id", "copy", "v")
-    postings = ranked.mapInArrow(_assigner(sent, CLOSURE, REPLICAS, True), "vec_id long, copy int, v array<float>, lists array<int>")
-    postings = common.stage(postings.select("vec_id", "copy", "v", F.explode("lists").alias("list")), "postings")
+    postings = ranked.mapInArrow(_assigner(sent), "vec_id long, copy int, v array<float>, lists array<int>")
+    postings = common.stage(postings.select("vec_id", "copy", "v", F.posexplode("lists").alias("place", "list")), "postings")
     postings = postings.where(F.col("copy") <= k + 1)
-    counts = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # at most MOST_LISTS rows
-    shards = spark.createDataFrame([(c, -(-m // SHARD_ROWS)) for c, m in counts.items()], "list int, shards int")
+    counts = postings.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("place") == 0).alias("own")).collect()  # at most one row a centroid
+    rows, own = np.zeros(len(graph.centroids), np.int64), np.zeros(len(graph.centroids), np.int64)
+    for r in counts:
+        rows[r["list"]], own[r["list"]] = r["rows"], r["own"]
+    group, shards = _groups(rows)
+    dealing = spark.createDataFrame([(c, int(group[c]), int(shards[c])) for c in range(len(rows))], "list int, group int, shards int")
 
     same = asked.groupBy("v").agg(F.min("query_id").alias("rep"))
-    probing = same.select("rep", "v").mapInArrow(_assigner(sent, probe_ratio, probes, False), "rep long, v array<float>, lists array<int>")
-    probing = common.stage(probing.select("rep", "v", F.explode("lists").alias("list")), "probing")
-    probing = probing.join(F.broadcast(shards), "list").select("rep", "v", "list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    dealt = postings.join(F.broadcast(shards), "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"))
+    known = spark.sparkContext.broadcast((graph.centroids.astype(np.float64), group, own))
+    probing = common.stage(same.select("rep", "v").mapInArrow(_prober(known, probe_ratio, k + 1), "rep long, v array<float>, group int, lists array<int>"), "probing")
+    pieces = dealing.groupBy("group").agg(F.max("shards").alias("shards"))
+    probing = probing.join(F.broadcast(pieces), "group").select("rep", "v", "lists", "group", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    dealt = postings.join(F.broadcast(dealing), "list").select("vec_id", "v", "list", "group", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"))
+    most = len(rows)
 
     def compare(left, right):
         import pyarrow as pa
 
         reps, ids, dists = [], [], []
         if left.num_rows and right.num_rows:
-            rows, wanted = _matrix(left.column("v")).astype(np.float64), _matrix(right.column("v")).astype(np.float64)
-            names = left.column("vec_id").to_numpy()
-            for rep, q in zip(right.column("rep").to_pylist(), wanted):
-                d = np.sqrt(((rows - q) ** 2).sum(axis=1))
-                at = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-                at = at[np.lexsort((names[at], d[at]))][: k + 1]
-                reps += [rep] * len(at)
-                ids += names[at].tolist()
-                dists += d[at].tolist()
+            names, first, which = np.unique(left.column("vec_id").to_numpy(), return_index=True, return_inverse=True)
+            rows, wanted = _matrix(left.column("v")).astype(np.float64)[first], _matrix(right.column("v")).astype(np.float64)
+            squares, lists = (rows * rows).sum(axis=1), left.column("list").to_numpy()
+            for rep, q, read in zip(right.column("rep").to_pylist(), wanted, right.column("lists").to_pylist()):
+                open_ = np.zeros(most, bool)
+                open_[read] = True
+                here = np.zeros(len(rows), bool)
+                here[which[open_[lists]]] = True
+                at = np.flatnonzero(here)
+                if len(at) > k + 1:  # by products first, with room for their rounding
+                    near = (squares - 2 * rows @ q)[at]
+                    at = at[near <= np.partition(near, k)[k] + 1e-9 * (squares.max() + q @ q)]
+                d = np.sqrt(((rows[at] - q) ** 2).sum(axis=1))
+                best = np.lexsort((names[at], d))[: k + 1]
+                reps += [rep] * len(best)
+                ids += names[at[best]].tolist()
+                dists += d[best].tolist()
         return pa.table({"rep": pa.array(reps, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(dists, pa.float64())})
 
-    found = dealt.groupBy("list", "shard").cogroup(probing.groupBy("list", "shard")).applyInArrow(compare, "rep long, vec_id long, score double")
+    found = dealt.groupBy("group", "shard").cogroup(probing.groupBy("group", "shard")).applyInArrow(compare, "rep long, vec_id long, score double")
     found = found.groupBy("rep", "vec_id").agg(F.min("score").alias("score"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
     members = asked.join(same.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("query_id", "rep")

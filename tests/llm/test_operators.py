@@ -174,6 +174,24 @@ def test_nearest(spark):
     assert ann.nearest(table.where("false"), table.where("false")).count() == 0
 
 
+def test_nearest_with_more_lists_than_a_fixed_number_of_probes(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(12_000, 32)).astype(np.float32)
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    asked, got = table.where("vec_id % 200 = 0"), {}
+    for r in ann.nearest(table, asked, list_rows=80).collect():  # over 150 lists
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 200):
+        d = ((v.astype(float) - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.95 * 600
+    # a ratio of nothing reads one list of fewer rows than wanted, and must go on
+    few = ann.nearest(table, asked, list_rows=5, probe_ratio=0.0).groupBy("query_id").count().collect()
+    assert len(few) == 60 and all(r["count"] == 10 for r in few)
+
+
 def test_secret_scan(spark, docs, none):
     rows = [
         (1, 'é PASSWORD: "hunter2hunter2" and token=abc, api_key = secret: abcdefgh'), (2, "AKIA" + "A1" * 8 + " AKIA12 " + "ab12" * 7), (3, None), (4, ""),
