@@ -20,6 +20,15 @@ GROUP_ROWS = 60_000
 _CHUNK = 1 << 18
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """xxh64 (seed 42) of each of the text's word shingles, as :func:`fingerprint` makes them; none without a word."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n)
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """SimHash of word shingles: bit b is one if it is set in over half of their xxh64 (seed 42).
 

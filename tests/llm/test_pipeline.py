@@ -1,11 +1,13 @@
 """The pipeline's stages, and the queries of the subpackage."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from oracle import compare
 
 import __spark_entry__
-from sluice.llm import common
+from sluice.llm import common, shingle_sets
 from sluice.llm.catalog import ORACLE_SQL, QUERIES
 
 
@@ -28,6 +30,38 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed} == seen
 
 
+def test_near_duplicates_as_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([30, 80, 200]))]
+        for _ in range(8):  # copies at similarities around and above 0.8
+            new = list(words)
+            for _ in range(rng.randint(0, max(1, len(new) // 40))):
+                new[rng.randrange(len(new))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(new)))
+    notice = " ".join(f"n{k}" for k in range(12))  # shared by texts that aren't alike
+    rows += [(len(rows) + k, notice + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(10))) for k in range(30)]
+    rows += [(900, ""), (901, None), (902, "two words"), (903, "Two  words"), (None, rows[0][1]), (904, "only this text")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root, between = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or (all_ and both / all_ >= 0.8):
+                between += both < all_
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = {min((d for (d, _), r in zip(rows, root) if r == g and d is not None), default=None) for g in set(root)}
+    monkeypatch.setattr(shingle_sets, "HEAVY_SETS", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert between > 50 and got == want
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
