@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from sluice.llm import tokens
 
 SPACE = "▁"
-#: Streams of random choices, of which each document draws one by its id.
-VARIANTS = 4
 DROPOUT = 0.1
 SEED = 11
 #: Segmented words that a worker keeps before it forgets them.
@@ -24,8 +22,9 @@ _UNIT = re.compile(" *[^ ]+| +")
 _LITERAL = "\x00" + SPACE  # the text's own U+2581, which must not be read back as a space
 _M64 = (1 << 64) - 1
 _LAST = 1 << 30
-#: Words segmented side by side, and rows encoded together.
+#: Words segmented side by side, words of texts whose draws are made side by side, and rows encoded together.
 _TOGETHER = 20_000
+_OCCURRENCES = 200_000
 _ROWS = 2000
 
 
@@ -35,14 +34,13 @@ class Pieces:
     No piece of such a model holds a space mark after another character, so the agenda of a
     text falls apart into those of its words (each with the spaces before it).  A candidate
     merge is taken from the agenda by score, then place; with dropout it is skipped, for good,
-    if a hash keyed by seed, variant, word and the candidate's three borders falls below the
-    rate.  What no piece spells becomes byte pieces, and so does the text's own space mark:
+    if a hash keyed by seed, document, the word's place in it and the candidate's three borders falls below the
+    rate: every occurrence of a word draws its own merges.  What no piece spells becomes byte pieces, and so does the text's own space mark:
     every segmentation decodes to the text it came from.
     """
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, cache_words: int = CACHE_WORDS) -> None:
         import sentencepiece
-        import xxhash
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
@@ -53,9 +51,9 @@ class Pieces:
         self._cost = {model.id_to_piece(k): -model.get_score(k) for k in normal}
         self._byte = {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self._text = {k: p.replace(SPACE, " ").encode() for p, k in self.ids.items()} | {k: bytes([b]) for b, k in self._byte.items()}
-        self._hash, self._limit = xxhash.xxh64_intdigest, cache_words
-        self._skip_below, self._seed, self.variants = int(dropout * (1 << 64)), seed, variants
-        self._known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._limit = cache_words
+        self._skip_below, self._seed = int(dropout * (1 << 64)), seed
+        self._known: dict[str, tuple[bytes, bytes | None]] = {}
         self._tables()
 
     def _tables(self) -> None:
@@ -77,41 +75,46 @@ class Pieces:
         self._odd = [ord(c) for c in singles]  # characters that pieces hold but that are none themselves
         self._char[self._odd] = 0
 
-    def _agenda(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _agenda(self, left: np.ndarray, right: np.ndarray, key: np.ndarray | None, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each pair makes, and its rank; without a piece, or skipped by its hash: the last rank."""
         want = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self._pair, want), len(self._pair) - 1)
         ok = self._pair[at] == want
-        if self._skip_below:
-            u = np.uint64
-            h = (key ^ (i.astype(u) << u(42) | j.astype(u) << u(21) | k.astype(u))) * u(0x9E3779B97F4A7C15)
-            h = (h ^ h >> u(29)) * u(0xBF58476D1CE4E5B9)
-            ok &= h ^ h >> u(32) >= u(self._skip_below)
+        if key is not None:
+            ok &= ~self._skips(key, _borders(i, j, k))
         return self._made[at], np.where(ok, self._rank[at], _LAST)
 
-    def _segment_many(self, units: list[str], variant: int) -> list[bytes]:
-        """As :meth:`_segment` for each word, all agendas side by side: a round takes each word's next merge."""
+    def _skips(self, key: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """Whether the candidates between *borders* are skipped."""
+        u = np.uint64
+        h = (key ^ borders) * u(0x9E3779B97F4A7C15)
+        h = (h ^ h >> u(29)) * u(0xBF58476D1CE4E5B9)
+        return h ^ h >> u(32) < u(self._skip_below)
+
+    def _segment_many(self, units: list[str], keys: np.ndarray | int | None, merges: list[bytes | None] | None = None) -> list[bytes]:
+        """As :meth:`_segment` for each word by its key (one for all, if a number), all agendas side by side: a
+        round takes each word's next merge.  Without keys nothing is skipped.  *merges*, if given, gets each
+        word's merges as borders (None of a word that holds characters without a piece)."""
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         word = np.repeat(np.arange(len(units)), sizes)
         sym = self._char[points]
         start = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stop = start + 1
+        key = None if keys is None or not self._skip_below else np.broadcast_to(np.asarray(keys, np.uint64), len(units))
         slow = np.unique(word[sym == 0])
         out: list[bytes] = [b""] * len(units)
         for k in slow.tolist():
-            out[k] = array("I", self._segment(units[k], variant)).tobytes()
+            out[k] = array("I", self._segment(units[k], None if key is None else int(key[k]))).tobytes()
         keep = ~np.isin(word, slow)
         word, sym, start, stop = word[keep], sym[keep], start[keep], stop[keep]
-        key = np.zeros(len(units), np.uint64)
-        if self._skip_below:
-            key[:] = [self._hash(u.encode("utf-8", "surrogatepass"), self._seed * 1_000_003 + variant) for u in units]
         made, rank = np.zeros(len(sym), np.int64), np.full(len(sym), _LAST)
         at = np.flatnonzero(word[:-1] == word[1:])
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        taken = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         while len(sym):
             if len(at):
-                made[at], rank[at] = self._agenda(sym[at], sym[at + 1], key[word[at]], start[at], start[at + 1], stop[at + 1])
+                made[at], rank[at] = self._agenda(sym[at], sym[at + 1], None if key is None else key[word[at]], start[at], start[at + 1], stop[at + 1])
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), first)
             live = best >> 32 != _LAST
@@ -119,6 +122,8 @@ class Pieces:
             stays = np.repeat(live, length)
             done.append((word[~stays], sym[~stays]))
             m = best[live] & 0xFFFFFFFF
+            if merges is not None:
+                taken.append((word[m], _borders(start[m], start[m + 1], stop[m + 1])))
             sym[m], stop[m] = made[m], stop[m + 1]
             stays[m + 1] = False
             place = np.cumsum(stays) - 1
@@ -134,11 +139,17 @@ class Pieces:
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if b > a:
                 out[k] = flat[a:b]
+        if merges is not None:
+            words, borders = (np.concatenate(x) for x in zip(*taken))
+            order = np.argsort(words, kind="stable")
+            flat, ends = borders[order].tobytes(), (8 * np.searchsorted(words[order], np.arange(len(units) + 1))).tolist()
+            merges += [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            for k in slow.tolist():
+                merges[k] = None
         return out
 
-    def _segment(self, unit: str, variant: int) -> list[int]:
-        cost, below = self._cost, self._skip_below
-        key = self._hash(unit.encode("utf-8", "surrogatepass"), self._seed * 1_000_003 + variant) if below else 0
+    def _segment(self, unit: str, key: int | None) -> list[int]:
+        cost, below = self._cost, self._skip_below if key is not None else 0
         parts: list[str | None] = [SPACE if c == " " else _LITERAL if c == SPACE else c for c in unit]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -175,17 +186,40 @@ class Pieces:
     def encode_batch(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Ids of whole texts, little-endian unsigned 32-bit; null counts as empty."""
         units = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        draws = [_draw(self._seed, d or 0, self.variants) for d in doc_ids]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        flat = [u for us in units for u in us]
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys = _draws(self._seed, np.repeat(np.array([d or 0 for d in doc_ids], np.int64), sizes), place)
+        out: list[bytes] = []
+        for k in range(0, len(flat), _OCCURRENCES):
+            out += self._occurrences(flat[k : k + _OCCURRENCES], keys[k : k + _OCCURRENCES])
+        ends = np.cumsum(sizes).tolist()
+        return [b"".join(out[b - n : b]) for b, n in zip(ends, sizes.tolist())]
+
+    def _occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each word by its own key.  What no draw touches is kept by word: its ids without dropout and the
+        merges that lead there; only occurrences that skip one of those are segmented anew."""
         known = self._known
-        if sum(map(len, known)) > self._limit:
-            for d in known:
-                d.clear()
-        for v in set(draws):
-            lack = list({u for us, x in zip(units, draws) if x == v for u in us} - known[v].keys())
-            for k in range(0, len(lack), _TOGETHER):
-                part = lack[k : k + _TOGETHER]
-                known[v].update(zip(part, self._segment_many(part, v)))
-        return [b"".join(map(known[v].__getitem__, us)) for v, us in zip(draws, units)]
+        if len(known) > self._limit:
+            known.clear()
+        lack = list(set(units) - known.keys())
+        for k in range(0, len(lack), _TOGETHER):
+            part, merges = lack[k : k + _TOGETHER], []
+            known.update(zip(part, zip(self._segment_many(part, None, merges), merges)))
+        out = [known[u][0] for u in units]
+        if self._skip_below:
+            merges = [known[u][1] for u in units]
+            counts = np.fromiter((len(m) // 8 if m is not None else 0 for m in merges), np.int64, len(merges))
+            of = np.repeat(np.arange(len(units)), counts)
+            skips = self._skips(keys[of], np.frombuffer(b"".join(m for m in merges if m), np.uint64))
+            anew = np.fromiter((m is None for m in merges), bool, len(merges))
+            anew[of[skips]] = True
+            at = np.flatnonzero(anew)
+            for k in range(0, len(at), _TOGETHER):
+                part = at[k : k + _TOGETHER].tolist()
+                for i, ids in zip(part, self._segment_many([units[i] for i in part], keys[part])):
+                    out[i] = ids
+        return out
 
     def encode(self, text: str | None, doc_id: int | None = 0) -> bytes:
         return self.encode_batch([text], [doc_id])[0]
@@ -196,15 +230,26 @@ class Pieces:
         return spelled[1:].decode("utf-8", "surrogatepass")
 
 
-def _draw(seed: int, doc_id: int, variants: int) -> int:
-    """The variant of a document."""
-    x = (doc_id + seed * 0x9E3779B97F4A7C15) & _M64
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M64
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M64
-    return (x >> 40) % variants
+def _borders(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The three borders of a candidate as one number."""
+    u = np.uint64
+    return i.astype(u) << u(42) | j.astype(u) << u(21) | k.astype(u)
+
+
+def _draws(seed: int, doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The key of each word: of the seed, its document and its place in it."""
+    u = np.uint64
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> u(30)) * u(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> u(27)) * u(0x94D049BB133111EB)
+        return x ^ x >> u(31)
+
+    x = mix(doc_ids.astype(np.int64).view(u) + u(seed * 0x9E3779B97F4A7C15 & _M64))
+    return mix(x + (places.astype(u) + u(1)) * u(0x9E3779B97F4A7C15))
 
 
-def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row.
 
     Null and empty texts have no ids; a null id draws as 0; repeated rows give equal rows; the
@@ -214,7 +259,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
     def run(batches):
         import pyarrow as pa
 
-        pieces = Pieces(model, dropout, seed, variants)
+        pieces = Pieces(model, dropout, seed)
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(k, _ROWS)

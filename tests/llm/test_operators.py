@@ -81,6 +81,18 @@ def test_merge_dropout(docs, none):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_merge_dropout_draws_for_each_occurrence():
+    noisy = pieces.Pieces(tokens.vocabulary("piece_bpe_32k.model"), 0.3)
+    text = "international " * 60 + "☃x " + "international" * 2
+    units = pieces._UNIT.findall(" " + text)
+    keys = pieces._draws(pieces.SEED, np.full(len(units), 7), np.arange(len(units)))
+    want = [struct.pack(f"<{len(x)}I", *x) for x in (noisy._segment(u, int(k)) for u, k in zip(units, keys))]
+    assert len(set(want[:60])) > 4  # one word, one document
+    assert noisy.encode(text, 7) == b"".join(want) and noisy.decode(noisy.encode(text, 7)) == text
+    assert noisy.encode_batch(["international", text, text], [1, 7, 8])[1:] == [b"".join(want), noisy.encode(text, 8)]
+    assert noisy.encode(text, 8) != noisy.encode(text, 7)
+
+
 def brute_lines(rows, similarity=0.8):
     """Kept line numbers by row, by comparing all pairs of lines."""
     def norm(x):
