@@ -124,6 +124,16 @@ def test_line_dedup_exact_and_fuzzy(spark, docs, none):
     assert out.count() == len(texts()) and set(docs.columns) < set(out.columns)
 
 
+def test_all_words_of_a_line_vote(spark):
+    import xxhash
+
+    lines = [" ".join(f"word{k * k}" for k in range(n)) for n in (1, 30, 40, 41, 63, 64, 65, 128, 129, 1023, 1024, 3000)]
+    for r in line_dedup.with_simhash(spark.createDataFrame([(x,) for x in lines], "norm string")).collect():
+        bits = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(r.norm.split(" "))], np.uint64)
+        votes = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=int)
+        assert r.fp == np.packbits(votes * 2 > len(bits), bitorder="little").view(np.int64)[0]
+
+
 def test_line_links_connect_what_all_pairs_do(spark):
     from pyspark.sql import functions as F
 
