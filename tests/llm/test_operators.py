@@ -124,6 +124,18 @@ def test_line_dedup_exact_and_fuzzy(spark, docs, none):
     assert out.count() == len(texts()) and set(docs.columns) < set(out.columns)
 
 
+def test_long_lines_are_compared_by_characters(spark):
+    rng = random.Random(9)
+    words = [rng.choice(WORDS) for _ in range(30)]
+    keyed = [" ".join([*words, "".join(rng.choice(k) for _ in range(150))]) for k in ("abcdefgh", "qrstuvwx")]  # one word of 31 differs
+    long = [rng.choice(WORDS) + str(k) for k in range(90)]
+    spelled = [w + "x" if k % 4 == 0 else w for k, w in enumerate(long)]  # a quarter of the words, few characters
+    assert len(keyed[0]) > 300 and len(" ".join(long)) > 300
+    texts = spark.createDataFrame([(1, keyed[0]), (2, keyed[1]), (3, " ".join(long)), (4, " ".join(spelled))], "a long, norm string")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "x long, y long")
+    assert [(r.x, r.y) for r in line_dedup._alike(pairs, texts, 0.8).collect()] == [(3, 4)]
+
+
 def test_all_words_of_a_line_vote(spark):
     import xxhash
 
