@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import shutil
 import tempfile
 import uuid
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables of at most so many narrow rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -30,20 +31,52 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/sluice/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder from whichever store it lies in."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`stage` writes inside are deleted at the end, but for those it was told to keep
+    (they belong to the workspace around this one, if there is one, else to the caller)."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            delete(spark, path)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write *df* as a Parquet table on the shared store and read it back.
 
     Cuts lineage in a way that outlives any executor, and makes values that depend on
-    the order of a partition's rows (task-local numbers) fixed for all later readers.
+    the order of a partition's rows (task-local numbers) fixed for all later readers.  Shuffle files of the
+    write go when it is done.  *keep*: the table outlives the :func:`workspace` it is written in.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    gc.collect()  # shuffle files of earlier stages go when the driver's references to them do
-    spark.sparkContext._jvm.System.gc()
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is counted to be small (rows of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings (dots written as two underscores) for the jobs run inside."""
@@ -76,17 +109,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is a table on the shared store; nothing but two counters reaches the driver.
     """
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    links = stage(links.where("u is not null and v is not null and u <> v").distinct(), "cc")
-    mark = None
+    links, mark = stage(links.where("u is not null and v is not null and u <> v").distinct(), "cc", keep=True), None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        links = stage(small.where("u <> v").distinct(), "cc")
+        small_ = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_ = small_.unionByName(low.select("u", F.col("m").alias("v")))
+        links = stage(small_.where("u <> v").distinct(), "cc", keep=True)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return links.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
