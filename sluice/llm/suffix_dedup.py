@@ -1,11 +1,14 @@
 """Removal of byte strings that an earlier document already holds.
 
+What is equal is decided by Burrows-Wheeler transforms of bounded size, whose suffix intervals are extended
+breadth-first up to LENGTH bytes.  Hashes only bring the bytes together that have to be in one transform:
+
 Every window of LENGTH bytes is led by its anchor, the least-hashed K-gram in it, so equal
 windows have equal anchors at equal places.  The windows that one anchor leads are a
-segment of at most 2 * LENGTH - K bytes.  Packs of documents send their distinct segments
-(as hashes, with the least document) to the anchor's bucket.  Windows of equal segments
-are equal; where an anchor leads several segments, the segments' bytes come to the bucket
-once each, and a Burrows-Wheeler transform of them tells which windows they share.
+segment of at most 2 * LENGTH - K bytes.  Packs of documents send the hashes of their distinct segments
+(with the least document) to the anchor's bucket, which tells the packs what their segments may share.
+Runs of segments that an earlier document seems to hold, and that document's own, then come together as bytes;
+so do the segments that differ but have an anchor in common, once each.
 """
 
 from __future__ import annotations
@@ -26,7 +29,14 @@ K = 24
 PACK_BYTES = 2 << 20
 PACK_ROWS = 20_000
 BUCKET_SEGMENTS = 200_000
-_SLICE = (1 << 22) - 256
+#: Bytes that one transform takes (one run of an earlier document at least), and bytes of text a bucket of them stands for.
+BATCH_BYTES = 1 << 20
+BUCKET_BYTES = 8 << 20
+#: Packs whose runs meet in one group with an earlier document's; more are dealt to further groups.
+PACKS_A_GROUP = 8
+#: The windows of an anchor that leads more segments that differ come together each by itself.
+HOT_SEGMENTS = 2000
+_SLICE = 1 << 17
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _LAST_ID = (1 << 63) - 1
@@ -68,16 +78,16 @@ def _kgrams(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows that one anchor leads: first and last window, document, hashes of anchor and segment."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """Runs of windows that one anchor leads: first and last window, document, hashes of anchor and segment; and of all K-grams."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     if len(data) < LENGTH:
         return none
-    grams = _kgrams(data)
     span, n = LENGTH - K + 1, len(data) - LENGTH + 1
+    grams = np.empty(n + span - 1, np.uint64)
     anchor = np.empty(n, np.int64)
-    for at in range(0, n, _SLICE):
+    for at in range(0, n, _SLICE):  # slices that stay in a core's cache
         size = min(_SLICE, n - at)
-        here = grams[at : at + size + span - 1]
+        here = grams[at : at + size + span - 1] = _kgrams(data[at : at + size + LENGTH - 1])
         low = here >> _U(22) << _U(22) | np.arange(len(here), dtype=np.uint64)  # ties: the first place
         width = 1
         while 2 * width <= span:
@@ -97,11 +107,11 @@ def segments(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values()[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
     whole = _mix((total[hi + LENGTH] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-    return lo, hi, doc[lo], grams[anchor[lo]], whole
+    return lo, hi, doc[lo], grams[anchor[lo]], whole, grams
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Places of *text* sorted by the bytes from there on, as far as 64 of them tell."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Places of *text* sorted by the bytes from there on, as far as 64 of them tell; 32, and the rank of each place by 32 bytes."""
     n = len(text)
     wide = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -111,7 +121,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     while True:
         order = np.argsort(key)
         if step == 64:
-            return order
+            return order.astype(np.int32), step // 2, rank.astype(np.int32)
         s = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1]))).astype(np.uint64)
@@ -121,48 +131,49 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 
 def prefix_groups(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order, and where in it a new common prefix of *length* bytes begins.
+    """Suffix order, and where in it a new common prefix of *length* bytes (33 to 64) begins.
 
     Breadth-first backward extension on the Burrows-Wheeler transform: intervals of suffixes
     that share l bytes are extended by the byte before them, all at once.  Two neighbours that
     begin alike share l + 1 bytes unless the suffixes behind their first byte lie in different
     intervals; so each round finds the places whose longest common prefix is l, and the search
-    stops at *length*.
+    stops at *length*.  Sorting the suffixes tells the intervals of 32 bytes, where the rounds begin.
     """
-    n = len(text)
-    order = suffix_order(text)
+    order, known, rank = suffix_order(text)
     bwt = text[order - 1]
     source = np.argsort(bwt, kind="stable").astype(np.int32)  # the j-th suffix is its first byte before the source[j]-th
-    head = bwt[source]
-    border = np.zeros(n, bool)
-    border[0] = True
-    border[1:] = head[1:] != head[:-1]
-    open_ = np.flatnonzero(~border)
-    for _ in range(1, length):
+    border = np.ones(len(text), bool)
+    at = rank[order]
+    border[1:] = at[1:] != at[:-1]
+    open_ = np.flatnonzero(~border).astype(np.int32)
+    here, before = source[open_], source[open_ - 1]
+    for _ in range(known, length):
         if not len(open_):
             break
         interval = np.cumsum(border, dtype=np.int32)
-        new = interval[source[open_]] != interval[source[open_ - 1]]
-        border[open_[new]] = True
-        open_ = open_[~new]
+        new = interval[here] != interval[before]
+        if new.any():
+            border[open_[new]] = True
+            open_, here, before = open_[~new], here[~new], before[~new]
     return order, border
 
 
-def shared_windows(parts: list[bytes], least: np.ndarray) -> np.ndarray:
-    """For each part, a bit per window: set if a part with a smaller *least* holds that window too."""
+def shared_windows(parts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (part, first byte, byte after the last) that a part with a smaller *least* holds too."""
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)  # no byte of UTF-8
     begin = np.cumsum(lens + 1) - lens - 1
     order, border = prefix_groups(text)
     part = np.repeat(np.arange(len(parts)), lens + 1)
     place = np.arange(len(text)) - begin[part]
-    value = np.where(place + LENGTH <= lens[part], least[part], _LAST_ID)
-    group = np.cumsum(border) - 1
+    inside = place + LENGTH <= lens[part]
+    value = np.where(inside, least[part], _LAST_ID)
     low = np.empty(len(text), np.int64)
-    low[order] = np.minimum.reduceat(value[order], np.flatnonzero(border))[group]
-    hit = low < value
-    hit &= place + LENGTH <= lens[part]
-    return np.bincount(part[hit], weights=(1 << place[hit]).astype(float), minlength=len(parts)).astype(np.int64)
+    low[order] = np.minimum.reduceat(value[order], np.flatnonzero(border))[np.cumsum(border) - 1]
+    hit = inside & (low < value)
+    edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))  # a part's end is never inside, so runs don't cross parts
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    return part[first], place[first], place[last] + LENGTH
 
 
 def _packer(batches) -> Iterator:
@@ -198,8 +209,8 @@ def _packer(batches) -> Iterator:
         yield flush()
 
 
-class _Pack:
-    """A pack's text and its distinct segments."""
+class _Texts:
+    """A pack's texts."""
 
     def __init__(self, row: dict) -> None:
         import zstandard
@@ -211,8 +222,15 @@ class _Pack:
         self.stops = np.cumsum(lens)
         self.starts = self.stops - lens
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(1, row["size"])), np.uint8)
-        self.lo, self.hi, doc, self.anchor, self.whole = segments(self.data, self.starts, self.stops)
-        self.doc = self.ids[doc]
+
+
+class _Pack(_Texts):
+    """A pack's texts and its distinct segments."""
+
+    def __init__(self, row: dict) -> None:
+        super().__init__(row)
+        self.lo, self.hi, self.row, self.anchor, self.whole, self.grams = segments(self.data, self.starts, self.stops)
+        self.doc = self.ids[self.row]
         order = np.lexsort((self.doc, self.whole, self.anchor))
         a, w = self.anchor[order], self.whole[order]
         new = np.ones(len(order), bool)
@@ -227,7 +245,7 @@ class _Pack:
 
 
 def _short(hashes: np.ndarray) -> bytes:
-    """The low six bytes of each hash (a bucket knows its anchors' high bits)."""
+    """The low six bytes of each hash (the high ones of an anchor are mostly zero)."""
     return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -250,13 +268,20 @@ def _blobs(names: list[str], rows: list[tuple]):
 
 
 _SENT = "bucket int, pack long, anchor binary, whole binary, least binary"
-_REPLY = "bucket int, pack long, pos binary, least binary, ask binary"
-_BYTES = "bucket int, pack long, pos binary, least binary, lens binary, bytes binary"
-_MASKS = "bucket int, pack long, pos binary, mask binary"
+_REPLY = "bucket int, pack long, pos binary, least binary, packs binary, flags binary"
+_BYTES = "bucket int, pack long, part binary, start binary, lens binary, least binary, bytes binary"
+_GONE = "bucket int, pack long, start binary, stop binary"
+#: What a bucket says of a segment: its bytes are to meet those of other segments of its anchor, an anchor with very many
+#: of them, or those of copies (with the least document).
+_DIFFER, _HOT, _COPIES = 1, 2, 4
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _by_bucket(anchor: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (anchor >> _U(32)) * _U(buckets) >> _U(32)
+    bucket = (_mix(anchor * _U(_BASE)) >> _U(32)) * _U(buckets) >> _U(32)  # the least of many hashes isn't spread evenly itself
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
     for b in range(buckets):
@@ -268,24 +293,23 @@ def _send(buckets: int):
     def run(batches):
         import pyarrow as pa
 
-        names = [x.split()[0] for x in _SENT.split(", ")]
         for batch in batches:
             for row in _rows(batch):
                 p = _Pack(row)
                 a, w, d = p.anchor[p.first], p.whole[p.first], p.doc[p.first]
-                rows = [(b, p.pack, _short(a[i]), _short(w[i]), d[i].tobytes()) for b, i in p.numbers(buckets).items()]
-                yield pa.RecordBatch.from_arrays(_blobs(names, rows), names=names)
+                rows = [(b, p.pack, _short(a[i]), w[i].tobytes(), d[i].tobytes()) for b, i in p.numbers(buckets).items()]
+                yield pa.RecordBatch.from_arrays(_blobs(_names(_SENT), rows), names=_names(_SENT))
 
     return run
 
 
 def _judge(table):
-    """A bucket's reply to the packs: the least document of their segments, and whose bytes are needed."""
+    """A bucket's reply to the packs: for each segment that may share something what its bytes are to meet, the least document
+    that seems to have the whole of it, and how many packs do."""
     import pyarrow as pa
 
-    names = [x.split()[0] for x in _REPLY.split(", ")]
     col = {n: table.column(n).to_pylist() for n in ("pack", "anchor", "whole", "least")}
-    a, w = (_long(b"".join(col[n])) for n in ("anchor", "whole"))
+    a, w = _long(b"".join(col["anchor"])), np.frombuffer(b"".join(col["whole"]), np.uint64)
     d = np.frombuffer(b"".join(col["least"]), np.int64)
     sizes = [len(x) // 8 for x in col["least"]]
     pack = np.repeat(np.array(col["pack"], np.int64), sizes)
@@ -299,95 +323,155 @@ def _judge(table):
     at = at[np.lexsort((d[at], w[at], a[at]))]
     a, w, d, pack, pos = a[at], w[at], d[at], pack[at], pos[at]
     if not len(a):
-        return pa.table(_blobs(names, []), names=names)
+        return pa.table(_blobs(_names(_REPLY), []), names=_names(_REPLY))
     new_a = np.ones(len(a), bool)
     new_a[1:] = a[1:] != a[:-1]
     new_w = new_a.copy()
     new_w[1:] |= w[1:] != w[:-1]
     seg, anc = np.cumsum(new_w) - 1, np.cumsum(new_a) - 1
-    least = d[new_w][seg]
-    several = np.bincount(anc[new_w])[anc] > 1
-    differ = np.minimum.reduceat(d, np.flatnonzero(new_a))[anc] < np.maximum.reduceat(d, np.flatnonzero(new_a))[anc]
-    ask = several & differ & (d == least)
-    told = ask | (least < d)
+    first = np.flatnonzero(new_w)
+    least, most, packs = d[first][seg], np.maximum.reduceat(d, first)[seg], np.diff(np.append(first, len(d)))[seg]
+    kinds = np.bincount(anc[new_w])[anc]
+    differ = (kinds > 1) & (np.minimum.reduceat(d, np.flatnonzero(new_a))[anc] < np.maximum.reduceat(d, np.flatnonzero(new_a))[anc]) & (d == least)
+    flags = (differ * np.where(kinds > HOT_SEGMENTS, _HOT, _DIFFER) + (most > least) * _COPIES).astype(np.uint8)
+    told = flags > 0
     rows, bucket = [], table.column("bucket")[0].as_py()
-    pos, least, ask, pack = pos[told], least[told], ask[told].astype(np.uint8), pack[told]
+    pos, least, packs, flags, pack = pos[told], least[told], packs[told].astype(np.uint32), flags[told], pack[told]
     order = np.lexsort((pos, pack))
     for i in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1) if len(order) else []:
-        rows.append((bucket, int(pack[i[0]]), pos[i].tobytes(), least[i].tobytes(), ask[i].tobytes()))
-    return pa.table(_blobs(names, rows), names=names)
-
-
-def _answer(buckets: int):
-    """The bytes of the segments that buckets ask a pack for."""
+        rows.append((bucket, int(pack[i[0]]), pos[i].tobytes(), least[i].tobytes(), packs[i].tobytes(), flags[i].tobytes()))
+    return pa.table(_blobs(_names(_REPLY), rows), names=_names(_REPLY))
+
+
+def _runs(p: _Pack, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of runs of segments *at* that follow each other in one document and have the same *group*."""
+    cut = np.ones(len(at), bool)
+    cut[1:] = (at[1:] != at[:-1] + 1) | (p.row[at[1:]] != p.row[at[:-1]]) | (group[1:] != group[:-1])
+    return at[cut], at[np.append(cut[1:], True)] if len(at) else at
+
+
+def _parts(p: _Pack, replies: list[dict], buckets: int) -> tuple[np.ndarray, ...]:
+    """What a pack has to bring: parts' groups, first bytes, bytes behind them, documents.  Even groups are a document's with its copies'."""
+    numbers = p.numbers(buckets)
+    least, packs, flags = p.doc[p.first].copy(), np.ones(len(p.first), np.int64), np.zeros(len(p.first), np.uint8)
+    for r in replies:
+        kind = numbers[r["bucket"]][np.frombuffer(r["pos"], np.uint32)]
+        least[kind], packs[kind] = np.frombuffer(r["least"], np.int64), np.frombuffer(r["packs"], np.uint32)
+        flags[kind] = np.frombuffer(r["flags"], np.uint8)
+    salts = -(-packs // PACKS_A_GROUP)
+    own = p.doc[p.first] == least  # the least document is here
+    copy = p.doc > least[p.kind]
+    out = []
+
+    def bring(group: np.ndarray, start: np.ndarray, stop: np.ndarray, doc: np.ndarray) -> None:
+        out.append((group, start, stop, doc))
+
+    def group_of(doc: np.ndarray, salts_: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return _mix((doc.astype(np.uint64) * _U(_BASE) + salts_.astype(np.uint64)) * _U(_BASE) + salt.astype(np.uint64)) << _U(1)
+
+    at = np.flatnonzero(copy)
+    kind = p.kind[at]
+    here, there = _runs(p, at, group_of(least[kind], salts[kind], salts[kind] * 0))
+    kind = p.kind[here]
+    bring(group_of(least[kind], salts[kind], int(_mix(np.array([p.pack], np.uint64))[0] >> _U(1)) % salts[kind]), p.lo[here], p.hi[there] + LENGTH, p.doc[here])
+    lends = own & ((flags & _COPIES > 0) | (np.bincount(p.kind[copy], minlength=len(p.first)) > 0))
+    at = np.sort(p.first[lends])
+    here, there = _runs(p, at, salts[p.kind[at]])
+    many = salts[p.kind[here]]
+    salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    here, there = np.repeat(here, many), np.repeat(there, many)
+    bring(group_of(p.doc[here], salts[p.kind[here]], salt), p.lo[here], p.hi[there] + LENGTH, p.doc[here])
+    at = p.first[flags & _DIFFER > 0]
+    bring(p.anchor[at] | _U(1), p.lo[at], p.hi[at] + LENGTH, p.doc[at])
+    at = p.first[flags & _HOT > 0]
+    count = p.hi[at] - p.lo[at] + 1
+    at = np.repeat(at, count)
+    window = p.lo[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    whole = _mix(p.grams[window]) + p.grams[window + LENGTH - K] * _U(_BASE) + p.data[window + K].astype(np.uint64) * _U(256) + p.data[window + K + 1]
+    bring(_mix(whole) << _U(1), window, window + LENGTH, p.doc[at])
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _bring(buckets: int, groups: int):
+    """The bytes that have to meet those of other packs, by buckets of groups."""
 
     def run(packs, replies):
         import pyarrow as pa
 
-        names, rows = [x.split()[0] for x in _BYTES.split(", ")], []
-        wanted = [r for r in _rows(replies) if any(r["ask"])]
-        for row in _rows(packs) if wanted else ():
+        rows, told = [], list(_rows(replies))
+        for row in _rows(packs):
             p = _Pack(row)
-            numbers = p.numbers(buckets)
-            for r in wanted:
-                ask = np.frombuffer(r["ask"], np.uint8) > 0
-                pos, least = np.frombuffer(r["pos"], np.uint32)[ask], np.frombuffer(r["least"], np.int64)[ask]
-                at = p.first[numbers[r["bucket"]][pos]]
-                lo, hi = p.lo[at], p.hi[at] + LENGTH
-                raw = b"".join(p.data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist()))
-                rows.append((r["bucket"], p.pack, pos.tobytes(), least.tobytes(), (hi - lo).tobytes(), raw))
-        return pa.table(_blobs(names, rows), names=names)
+            group, start, stop, doc = _parts(p, told, buckets)
+            bucket = (_mix(group >> _U(1)) >> _U(32)) * _U(groups) >> _U(32)
+            order = np.lexsort((group, bucket))
+            for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                raw = b"".join([p.data[x:y].tobytes() for x, y in zip(start[i].tolist(), stop[i].tolist())])
+                rows.append((int(bucket[i[0]]), p.pack, group[i].tobytes(), start[i].tobytes(), (stop - start)[i].tobytes(), doc[i].tobytes(), raw))
+        return pa.table(_blobs(_names(_BYTES), rows), names=_names(_BYTES))
 
     return run
 
 
+def _batches(group: np.ndarray, lens: np.ndarray, least: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Parts that go into one transform: whole groups; of a large group of copies its earliest document with some of the others each time."""
+    order = np.argsort(group, kind="stable")
+    held: list[np.ndarray] = []
+    size = 0
+    for i in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+        own = int(lens[i].sum())
+        if own > most and not int(group[i[0]]) & 1:
+            early = least[i] == least[i].min()
+            source, rest = i[early], i[~early]
+            step = max(most, int(lens[source].sum()))
+            piece = np.cumsum(lens[rest]) // step
+            for part in np.split(rest, np.flatnonzero(np.diff(piece)) + 1):
+                yield np.concatenate([source, part])
+            continue
+        if held and size + own > most:
+            yield np.concatenate(held)
+            held, size = [], 0
+        held.append(i)
+        size += own
+    if held:
+        yield np.concatenate(held)
+
+
 def _compare(table):
-    """Windows that different segments of a bucket share."""
+    """Bytes of a bucket's parts under windows that a part with a smaller document holds too."""
     import pyarrow as pa
 
-    names, rows, parts, least = [x.split()[0] for x in _MASKS.split(", ")], table.to_pylist(), [], []
-    for r in rows:
-        cuts = np.concatenate(([0], np.cumsum(np.frombuffer(r["lens"], np.int64)))).tolist()
-        parts += [r["bytes"][x:y] for x, y in zip(cuts, cuts[1:])]
-        least.append(np.frombuffer(r["least"], np.int64))
-    mask, at, out = shared_windows(parts, np.concatenate(least)), 0, []
-    for r in rows:
-        n = len(r["least"]) // 8
-        m, at = mask[at : at + n], at + n
-        keep = m > 0
-        if keep.any():
-            out.append((r["bucket"], r["pack"], np.frombuffer(r["pos"], np.uint32)[keep].tobytes(), m[keep].tobytes()))
-    return pa.table(_blobs(names, out), names=names)
+    col = {n: table.column(n).to_pylist() for n in ("pack", "part", "start", "lens", "least", "bytes")}
+    group = np.frombuffer(b"".join(col["part"]), np.uint64)
+    start, lens, least = (np.frombuffer(b"".join(col[n]), np.int64) for n in ("start", "lens", "least"))
+    counts = [len(x) // 8 for x in col["lens"]]
+    row = np.repeat(np.arange(len(counts)), counts)
+    begin = np.cumsum(lens) - lens
+    begin -= np.repeat(begin[np.cumsum(counts) - counts], counts)
+    found = []
+    for i in _batches(group, lens, least, BATCH_BYTES):
+        parts = [col["bytes"][r][x : x + n] for r, x, n in zip(row[i].tolist(), begin[i].tolist(), lens[i].tolist())]
+        part, first, stop = shared_windows(parts, least[i])
+        part = i[part]
+        found.append((row[part], start[part] + first, start[part] + stop))
+    row, first, stop = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order, bucket = np.argsort(row, kind="stable"), table.column("bucket")[0].as_py()
+    rows = [(bucket, col["pack"][row[i[0]]], first[i].tobytes(), stop[i].tobytes()) for i in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(i)]
+    return pa.table(_blobs(_names(_GONE), rows), names=_names(_GONE))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _apply(buckets: int, with_text: bool):
-    def run(packs, replies):
+def _apply(with_text: bool):
+    def run(packs, gone_):
         import pyarrow as pa
 
         out = []
         for row in _rows(packs):
-            p = _Pack(row)
-            numbers = p.numbers(buckets)
-            least = p.doc[p.first].copy()
-            masks = np.zeros(len(p.first), np.int64)
-            for r in _rows(replies):
-                kind = numbers[r["bucket"]][np.frombuffer(r["pos"], np.uint32)]
-                if r["mask"] is None:
-                    least[kind] = np.frombuffer(r["least"], np.int64)
-                else:
-                    masks[kind] = np.frombuffer(r["mask"], np.int64)
-            all_ = least[p.kind] < p.doc
-            lo, hi = [p.lo[all_]], [p.hi[all_]]
-            some = np.flatnonzero(~all_ & (masks[p.kind] > 0))
-            for k in range(LENGTH - K + 1):
-                hit = p.lo[some[(masks[p.kind[some]] >> k & 1) > 0]] + k
-                lo.append(hit)
-                hi.append(hit)
-            n = len(p.data)
-            depth = np.bincount(np.concatenate(lo), minlength=n + 1) - np.bincount(np.concatenate(hi) + LENGTH, minlength=n + 1)
+            p, n = _Texts(row), row["size"]
+            told = list(_rows(gone_))
+            lo, hi = (np.frombuffer(b"".join(r[k] for r in told), np.int64) for k in ("start", "stop"))
+            depth = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
             gone = np.cumsum(depth)[:n] > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
@@ -414,27 +498,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with *with_text* kept (binary: cuts may part a character).
     Strings are judged on the input; matches don't cross documents.  Documents are put into packs of
-    bounded size, written once; hashes, replies and bytes travel between packs and buckets.  A segment that any
-    number of rows hold is sent once a pack.  Null and empty texts have no bytes; a null id counts as larger than
+    bounded size, written once; hashes, replies and bytes travel between packs and buckets.  A segment's hash is
+    sent once a pack; memory is bounded by the sizes above and the largest document.  Null and empty texts have no bytes; a null id counts as larger than
     all; rows that share an id don't count as earlier than each other; an empty table gives no rows.
     """
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packs = common.stage(table.mapInArrow(_packer, "pack long, ids binary, nulls binary, lens binary, text binary, size long"), "packs")
-    size = packs.agg(F.sum("size")).first()[0] or 0
-    buckets = int(max(12, -(-2 * size // ((LENGTH - K + 2) * BUCKET_SEGMENTS))))
-    # as many tasks as buckets: adaptive execution would join buckets by their few bytes, not by their work
-    sent = packs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket")
-    with common.settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4"):  # a row is a pack
-        replies = common.stage(sent.groupBy("bucket").applyInArrow(_judge, _REPLY), "replies")
-        del sent
-        asked = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_answer(buckets), _BYTES).repartition(buckets, "bucket")
-        masks = common.stage(asked.groupBy("bucket").applyInArrow(_compare, _MASKS), "masks")
-        del asked
-        told = replies.select("bucket", "pack", "pos", "least", F.lit(None).cast("binary").alias("mask")).unionByName(
-            masks.select("bucket", "pack", "pos", F.lit(None).cast("binary").alias("least"), "mask")
-        )
-        done = packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_apply(buckets, with_text), _RESULT + ", kept binary" * with_text)
-        return common.stage(done, "kept")
+    with common.workspace(docs.sparkSession):
+        packs = common.stage(table.mapInArrow(_packer, "pack long, ids binary, nulls binary, lens binary, text binary, size long"), "packs")
+        size = packs.agg(F.sum("size")).first()[0] or 0
+        buckets = int(max(12, -(-2 * size // ((LENGTH - K + 2) * BUCKET_SEGMENTS))))
+        groups = int(max(12, -(-size // BUCKET_BYTES)))
+        # as many tasks as buckets: adaptive execution would join buckets by their few bytes, not by their work
+        sent = packs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket")
+        with common.settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4"):  # a row is a pack
+            replies = common.stage(sent.groupBy("bucket").applyInArrow(_judge, _REPLY), "replies")
+            brought = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_bring(buckets, groups), _BYTES).repartition(groups, "bucket")
+            gone = common.stage(brought.groupBy("bucket").applyInArrow(_compare, _GONE), "gone")
+            done = packs.groupBy("pack").cogroup(gone.groupBy("pack")).applyInArrow(_apply(with_text), _RESULT + ", kept binary" * with_text)
+            return common.stage(done, "kept", keep=True)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,8 +321,9 @@ def test_word_encoder_is_the_library():
         assert [list(np.frombuffer(x, "<u4")) for x in e.encode(hard)] == [list(x.ids) for x in want]
 
 
-def test_suffix_dedup(docs, none):
-    rows = [(d if d is not None else 1 << 62, t) for d, t in texts()]
+def brute_repeats(rows):
+    """What is left by a dictionary of all windows."""
+    rows = [(d if d is not None else 1 << 62, t) for d, t in rows]
     first = {}
     for d, t in rows:
         b = (t or "").encode()
@@ -337,8 +338,12 @@ def test_suffix_dedup(docs, none):
                 gone[i : i + 50] = b"\1" * 50
         spans = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(b)))
         want.append((str(d if d < 1 << 62 else None), len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return want
+
+
+def test_suffix_dedup(docs, none):
     got = suffix_dedup.remove_repeats(docs.repartition(5)).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(texts()))
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
@@ -348,11 +353,53 @@ def test_prefix_groups_and_windows():
     shared = part(60)
     parts = [part(20)[:12] + shared, shared[:70] + part(8), part(66), shared[5:58]]
     least = np.array([5, 3, 1, 9])
-    masks = suffix_dedup.shared_windows(parts, least)
+    hits = {(int(k), w) for k, x, y in zip(*suffix_dedup.shared_windows(parts, least)) for w in range(x, y - 49)}
     for k, p in enumerate(parts):
         for at in range(len(p) - 49):
-            hit = any(p[at : at + 50] in q for j, q in enumerate(parts) if least[j] < least[k])
-            assert (masks[k] >> at & 1) == hit
+            assert ((k, at) in hits) == any(p[at : at + 50] in q for j, q in enumerate(parts) if least[j] < least[k])
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup_of_copies_and_phrases(spark, monkeypatch, small):
+    """Several packs and buckets, a text larger than a pack, copies, near copies, one phrase in many texts."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n))
+    base, long, phrase, near = line(120), line(3000), "all rights reserved by nobody at all, 123", line(150)
+    rows = [(k, base) for k in range(0, 60, 3)] + [(100, long), (101, long[4000:9000]), (102, line(5) + long[:12_000])]
+    rows += [(200 + k, line(3) + phrase + line(3)) for k in range(40)]
+    for k in range(30):
+        w = near.split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((300 + k, " ".join(w)))
+    rng.shuffle(rows)
+    if not small:
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
+        return
+    # many packs, buckets, groups and transforms, in this process
+    import pyarrow as pa
+    import pyspark
+
+    for name, value in (("PACK_BYTES", 4000), ("BATCH_BYTES", 600), ("HOT_SEGMENTS", 3), ("PACKS_A_GROUP", 2), ("_SLICE", 500)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 1})()))
+    buckets, groups = 5, 7
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    packs = [pa.Table.from_batches([x]) for x in suffix_dedup._packer([batch])]
+
+    def by(tables, key):
+        whole = pa.concat_tables(tables)
+        return {k: whole.filter(pa.compute.equal(whole[key], k)).combine_chunks() for k in whole[key].unique().to_pylist()}
+
+    sent = by([pa.Table.from_batches(suffix_dedup._send(buckets)(p.to_batches())) for p in packs], "bucket")
+    replies = by([suffix_dedup._judge(t) for t in sent.values()], "pack")
+    assert len(packs) > 10 and len(sent) == buckets and any(suffix_dedup._HOT in r["flags"] for t in replies.values() for r in t.to_pylist())
+    told = {p["pack"][0].as_py(): replies.get(p["pack"][0].as_py(), next(iter(replies.values())).slice(0, 0)) for p in packs}
+    bytes_ = by([suffix_dedup._bring(buckets, groups)(p, told[p["pack"][0].as_py()]) for p in packs], "bucket")
+    gone = by([suffix_dedup._compare(t) for t in bytes_.values()], "pack")
+    empty = next(iter(gone.values())).slice(0, 0)
+    got = [r for p in packs for r in suffix_dedup._apply(False)(p, gone.get(p["pack"][0].as_py(), empty)).to_pylist()]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(brute_repeats(rows))
 
 
 def test_packing(docs, none):
