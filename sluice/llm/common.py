@@ -7,7 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """*path* with the scheme of the store it lies in; one without goes by the cluster's default, never by an executor's own disk."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf).makeQualified(at).toString()
+
+
+def keep_only(spark: SparkSession, folder: str, names: set[str]) -> None:
+    """Delete the files of *folder* that aren't among *names* (attempts that didn't count)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(conf)
+    for x in store.listStatus(at) if store.exists(at) else ():
+        if x.getPath().getName() not in names:
+            store.delete(x.getPath(), True)
+
+
 _open: list[list[str]] = []
 
 
@@ -91,6 +108,11 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with *value* computed once, however often it is used within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_spaces(text: Column) -> Column:
     """Each run of ``[\\x20\\x09-\\x0D]`` becomes one space; literal replacements first,
     the regular expression only for the few texts that still hold two spaces in a row."""

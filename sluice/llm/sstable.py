@@ -220,14 +220,15 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     Returns the shards: shard, path, n_docs, n_tokens.  The rows are range-partitioned by
     (id, hash of the text), so that rows that share an id may part, and each task streams
     its sorted rows through one writer: memory is one Arrow batch, one block and eight
-    bytes a key.  A task writes under a name of its own attempt and renames the file when it
-    is whole, so repeated or speculative attempts leave one file.  Null texts count as empty;
+    bytes a key.  A task writes under a name of its own attempt, and only the table of shards, which
+    one attempt of each task gets into, says which files count; the others are deleted.  Null texts count as empty;
     null ids come first; rows that share an id follow each other in the order of the texts'
     hashes; an empty table gives one empty shard or none.  Other columns are not read.
     """
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = table.withColumn("h", F.xxhash64("text"))
     table = table.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    path = common.qualified(docs.sparkSession, path)
 
     def write(batches):
         import pyarrow as pa
@@ -237,9 +238,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
         shard = TaskContext.get().partitionId()
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        part, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/shard-{shard:06d}.sst"
+        final = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         encode, end = tokens.encoder(vocabulary).encode, struct.pack("<I", end_id)
-        with store.open_output_stream(part) as out:
+        with store.open_output_stream(final) as out:
             writer = Writer(out)
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -247,15 +248,14 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
                     for doc, x in zip(ids[k : k + 1000], encode(texts[k : k + 1000])):
                         writer.add(doc, x + end)
             writer.close()
-        if store.get_file_info(final).type != fs.FileType.NotFound:
-            store.delete_file(final)
-        store.move(part, final)
         yield pa.RecordBatch.from_pydict(
             {"shard": [shard], "path": [final], "n_docs": [writer.docs], "n_tokens": [writer.tokens]},
             schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
         )
 
-    return common.stage(table.select("doc_id", "text").mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "shards")
+    shards = common.stage(table.select("doc_id", "text").mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "shards", keep=True)
+    common.keep_only(docs.sparkSession, path, {r["path"].rsplit("/", 1)[1] for r in shards.select("path").collect()})
+    return shards
 
 
 def read_shards(spark: SparkSession, root: str, shards: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def read_shards(spark: SparkSession, root: str, shards: DataFrame) -> DataFrame:
 
     Only the shards' counts, one row a file, come to the driver, to place the files' starts.
     """
-    base, rows = 0, []
+    root, base, rows = common.qualified(spark, root), 0, []
     for r in shards.orderBy("shard").collect():
         rows.append((r["shard"], r["path"], base))
         base += r["n_tokens"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 from array import array
 
 #: Words kept in a worker's memory before the store is emptied and filled anew.
@@ -32,7 +34,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
+        added = self._tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("an added token that takes what stands around it")
+        self._added = {t.content: struct.pack("<I", k) for k, t in added.items()}
+        self._at_added = re.compile("|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True))) if added else None
         if self._tokenizer.normalizer is not None or type(self._tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("a byte-level vocabulary without normalisation is needed")
         byte_level = self._tokenizer.pre_tokenizer.pre_tokenize_str
@@ -82,7 +88,20 @@ class WordEncoder:
         return [*out, last]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One value per text; null counts as empty."""
+        """One value per text; null counts as empty.  Added tokens part a text wherever they are spelled out."""
+        parted = {k: self._at_added.split(t) for k, t in enumerate(texts) if t and any(x in t for x in self._added)}
+        if not parted:
+            return self._plain(texts)
+        parts = iter(self._plain([p for k, t in enumerate(texts) for p in parted.get(k, [t])]))
+        out = []
+        for k, t in enumerate(texts):
+            ids = next(parts)
+            for token in self._at_added.findall(t) if k in parted else ():
+                ids += self._added[token] + next(parts)
+            out.append(ids)
+        return out
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
         got = [list(map(self._inner.get, words[1:])) for words in split]
         lack: set[str] = set()
