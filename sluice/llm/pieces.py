@@ -53,9 +53,26 @@ class Pieces:
         self._text = {k: p.replace(SPACE, " ").encode() for p, k in self.ids.items()} | {k: bytes([b]) for b, k in self._byte.items()}
         self._limit = cache_words
         self._skip_below, self._seed = int(dropout * (1 << 64)), seed
-        self._known: dict[str, tuple[bytes, bytes | None]] = {}
+        self._forget()
         self._tables()
 
+    def _forget(self) -> None:
+        """Without words: each known word's number, and by number its ids without dropout and where its merges' borders stand."""
+        self._known: dict[str, int] = {}
+        self._plain: list[bytes] = []
+        self._borders, self._first, self._count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        merges: list[bytes | None] = []
+        ids = self._segment_many(words, None, merges)
+        count = np.fromiter((-1 if m is None else len(m) // 8 for m in merges), np.int64, len(merges))  # -1: segmented anew each time
+        size = np.maximum(count, 0)
+        self._known.update(zip(words, range(len(self._plain), len(self._plain) + len(words))))
+        self._plain += ids
+        self._first = np.append(self._first, len(self._borders) + np.cumsum(size) - size)
+        self._count = np.append(self._count, count)
+        self._borders = np.append(self._borders, np.frombuffer(b"".join(m for m in merges if m), np.uint64))
+
     def _tables(self) -> None:
         """Arrays for many words at once: characters' ids, and for pairs of ids what they make and at which cost."""
         self._char = np.zeros(0x110000, np.int32)  # 0: no piece
@@ -71,6 +88,17 @@ class Pieces:
         ]
         table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
         self._pair, self._made, self._rank = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
+        # where a pair stands in these arrays: an open hash table, -1 where a slot is free
+        self._bits = max(4, 3 + len(table).bit_length())
+        self._slot, at, left = np.full((1 << self._bits) + 64, -1, np.int32), self._hash(self._pair), np.arange(len(table))
+        while len(left):
+            free = self._slot[at[left]] < 0
+            first = np.unique(at[left[free]], return_index=True)[1]
+            placed = left[free][first]
+            self._slot[at[placed]] = placed
+            left = np.setdiff1d(left, placed, assume_unique=True)
+            at[left] += self._slot[at[left]] >= 0
+        self._most = int((at - self._hash(self._pair)).max(initial=0))
         singles = {c for p in self.ids for c in p if c not in self.ids}
         self._odd = [ord(c) for c in singles]  # characters that pieces hold but that are none themselves
         self._char[self._odd] = 0
@@ -78,12 +106,22 @@ class Pieces:
     def _agenda(self, left: np.ndarray, right: np.ndarray, key: np.ndarray | None, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each pair makes, and its rank; without a piece, or skipped by its hash: the last rank."""
         want = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self._pair, want), len(self._pair) - 1)
-        ok = self._pair[at] == want
+        slot = self._hash(want)
+        at = self._slot[slot]
+        ok = self._pair[at] == want  # -1: the last pair, which isn't the one wanted, or it stands here
+        for far in range(1, self._most + 1):
+            rest = np.flatnonzero(~ok & (at >= 0))
+            if not len(rest):
+                break
+            at[rest] = self._slot[slot[rest] + far]
+            ok[rest] = self._pair[at[rest]] == want[rest]
         if key is not None:
             ok &= ~self._skips(key, _borders(i, j, k))
         return self._made[at], np.where(ok, self._rank[at], _LAST)
 
+    def _hash(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
     def _skips(self, key: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Whether the candidates between *borders* are skipped."""
         u = np.uint64
@@ -199,21 +237,20 @@ class Pieces:
     def _occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """Ids of each word by its own key.  What no draw touches is kept by word: its ids without dropout and the
         merges that lead there; only occurrences that skip one of those are segmented anew."""
-        known = self._known
-        if len(known) > self._limit:
-            known.clear()
-        lack = list(set(units) - known.keys())
+        if len(self._known) > self._limit:
+            self._forget()
+        lack = list(set(units) - self._known.keys())
         for k in range(0, len(lack), _TOGETHER):
-            part, merges = lack[k : k + _TOGETHER], []
-            known.update(zip(part, zip(self._segment_many(part, None, merges), merges)))
-        out = [known[u][0] for u in units]
+            self._learn(lack[k : k + _TOGETHER])
+        number = np.fromiter(map(self._known.__getitem__, units), np.int64, len(units))
+        out = list(map(self._plain.__getitem__, number.tolist()))
         if self._skip_below:
-            merges = [known[u][1] for u in units]
-            counts = np.fromiter((len(m) // 8 if m is not None else 0 for m in merges), np.int64, len(merges))
-            of = np.repeat(np.arange(len(units)), counts)
-            skips = self._skips(keys[of], np.frombuffer(b"".join(m for m in merges if m), np.uint64))
-            anew = np.fromiter((m is None for m in merges), bool, len(merges))
-            anew[of[skips]] = True
+            count = self._count[number]
+            size = np.maximum(count, 0)
+            of = np.repeat(np.arange(len(units)), size)
+            at = np.arange(len(of)) + np.repeat(self._first[number] - (np.cumsum(size) - size), size)
+            anew = count < 0
+            anew[of[self._skips(keys[of], self._borders[at])]] = True
             at = np.flatnonzero(anew)
             for k in range(0, len(at), _TOGETHER):
                 part = at[k : k + _TOGETHER].tolist()
@@ -249,6 +286,13 @@ def _draws(seed: int, doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mix(x + (places.astype(u) + u(1)) * u(0x9E3779B97F4A7C15))
 
 
+def kept(model: str, dropout: float = DROPOUT, seed: int = SEED, _made: dict = {}) -> Pieces:  # noqa: B006
+    """This worker process's pieces; made once, used by all its tasks."""
+    if (model, dropout, seed) not in _made:
+        _made[model, dropout, seed] = Pieces(model, dropout, seed)
+    return _made[model, dropout, seed]
+
+
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row.
 
@@ -259,7 +303,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
     def run(batches):
         import pyarrow as pa
 
-        pieces = Pieces(model, dropout, seed)
+        pieces = kept(model, dropout, seed)
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(k, _ROWS)
@@ -275,7 +319,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     def run(batches):
         import pyarrow as pa
 
-        pieces = Pieces(model, 0.0)
+        pieces = kept(model, 0.0)
         for batch in batches:
             texts = [pieces.decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -294,7 +338,7 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str, model: str | None = None
 
         import pyarrow as pa
 
-        pieces = Pieces(path)
+        pieces = kept(path)
         for whole in batches:
             for k in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(k, _ROWS)
