@@ -161,26 +161,33 @@ def _prober(sent, ratio: float, least: int):
     """Rows (rep, v, group, lists) of batches (rep, v): the lists that a query reads, by their groups.
 
     Those are all within *ratio* of the nearest centroid's distance, and further ones until the lists
-    are the nearest ones of *least* rows.
+    are the nearest ones of *least* rows.  The graph finds the nearest BEAM centroids; a query whose lists aren't
+    all among these is held against every centroid.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        graph, group, own = sent.value
+        centroids = graph.centroids.astype(np.float64)
         for batch in batches:
             points, at, groups, lists = _matrix(batch.column(1)).astype(np.float64), [], [], []
-            centroids, group, own = sent.value
             for k in range(0, len(points), 512):
-                dist = np.sqrt(_squares(points[k : k + 512], centroids))
-                for i, d in enumerate(dist):
-                    order = np.argsort(d, kind="stable")
-                    n = max(np.searchsorted(d[order], (1 + ratio) * d[order[0]] + 1e-9, "right"), np.searchsorted(np.cumsum(own[order]), least) + 1)
+                part = points[k : k + 512]
+                found, dist = graph.search(part.astype(np.float32), BEAM)
+                for i, (order, d) in enumerate(zip(found, dist)):
+                    order, d = order[order >= 0], d[order >= 0]
+                    if d[-1] <= (1 + ratio) * d[0] + 1e-9 or own[order].sum() < least:
+                        d = np.sqrt(((centroids - part[i]) ** 2).sum(1))
+                        order = np.argsort(d, kind="stable")
+                        d = d[order]
+                    n = max(np.searchsorted(d, (1 + ratio) * d[0] + 1e-9, "right"), np.searchsorted(np.cumsum(own[order]), least) + 1)
                     read = np.sort(order[:n])
                     cuts = np.flatnonzero(np.diff(group[read])) + 1
-                    for part in np.split(read, cuts):
+                    for lot in np.split(read, cuts):
                         at.append(k + i)
-                        groups.append(int(group[part[0]]))
-                        lists.append(part.tolist())
+                        groups.append(int(group[lot[0]]))
+                        lists.append(lot.tolist())
             rows = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "v", "group", "lists"])
 
@@ -193,8 +200,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     Centroids of balanced clusters are fitted on a bounded sample and joined by a graph that every
     task holds (at most MOST_LISTS centroids).  Every row goes to the list of its nearest centroid, and a row near
-    a border to further ones.  A query is held against all centroids and reads every list within a ratio of the nearest
-    one's distance, and further lists until they have *k* rows besides its own.  Groups of lists are dealt to
+    a border to further ones.  A query finds its nearest centroids by the graph and reads every list within a ratio of the nearest
+    one's distance (all centroids are looked at where the graph's beam is too narrow for that), and further lists until they have *k* rows besides its own.  Groups of lists are dealt to
     tasks in shards of bounded size and meet their queries there.
     Copies of a vector beyond the k + 1 with the smallest ids can't be among the k nearest and aren't
     compared; equal queries are searched once.  Rows that are null, zero, not finite, or of another
@@ -202,9 +209,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     id; rows that repeat an id count once; an empty table or query set gives no rows; other columns aren't read.
     """
     spark = vectors.sparkSession
-    table = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("v")).where(usable(F.col("v")) & F.col("query_id").isNotNull())
-    sizes = table.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"  # no rounding before distances
+    table = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(usable(F.col("v")) & F.col("query_id").isNotNull())
+    sizes = table.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
@@ -213,14 +222,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     sample = table.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     points = _matrix(sample.column("v")).astype(np.float32)
     lists = int(min(MOST_LISTS, max(1, n // list_rows), max(1, len(points) // 4)))
-    graph = Graph.build(balanced_centroids(points, lists))
+    with common.workspace(spark):
+        return _search(table, asked, Graph.build(balanced_centroids(points, lists)), kind, k, probe_ratio)
+
+
+def _search(table: DataFrame, asked: DataFrame, graph: Graph, kind: str, k: int, probe_ratio: float) -> DataFrame:
+    spark = table.sparkSession
     sent = spark.sparkContext.broadcast(graph)
 
-    copies = Window.partitionBy("v").orderBy("vec_id")
-    ranked = table.withColumn("copy", F.row_number().over(copies)).select("vec_id", "copy", "v")
-    postings = ranked.mapInArrow(_assigner(sent), "vec_id long, copy int, v array<float>, lists array<int>")
-    postings = common.stage(postings.select("vec_id", "copy", "v", F.posexplode("lists").alias("place", "list")), "postings")
-    postings = postings.where(F.col("copy") <= k + 1)
+    postings = table.select("vec_id", "v").mapInArrow(_assigner(sent), f"vec_id long, v array<{kind}>, lists array<int>")
+    postings = common.stage(postings.select("vec_id", "v", F.posexplode("lists").alias("place", "list")), "postings")
+    copies = Window.partitionBy("list", F.xxhash64("v"), "v").orderBy("vec_id")  # cut to k + 1 before and after the shuffle
+    postings = postings.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    postings = common.stage(postings, "searched")
     counts = postings.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("place") == 0).alias("own")).collect()  # at most one row a centroid
     rows, own = np.zeros(len(graph.centroids), np.int64), np.zeros(len(graph.centroids), np.int64)
     for r in counts:
@@ -229,8 +243,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     dealing = spark.createDataFrame([(c, int(group[c]), int(shards[c])) for c in range(len(rows))], "list int, group int, shards int")
 
     same = asked.groupBy("v").agg(F.min("query_id").alias("rep"))
-    known = spark.sparkContext.broadcast((graph.centroids.astype(np.float64), group, own))
-    probing = common.stage(same.select("rep", "v").mapInArrow(_prober(known, probe_ratio, k + 1), "rep long, v array<float>, group int, lists array<int>"), "probing")
+    known = spark.sparkContext.broadcast((graph, group, own))
+    probing = common.stage(same.select("rep", "v").mapInArrow(_prober(known, probe_ratio, k + 1), f"rep long, v array<{kind}>, group int, lists array<int>"), "probing")
     pieces = dealing.groupBy("group").agg(F.max("shards").alias("shards"))
     probing = probing.join(F.broadcast(pieces), "group").select("rep", "v", "lists", "group", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     dealt = postings.join(F.broadcast(dealing), "list").select("vec_id", "v", "list", "group", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"))
@@ -266,7 +280,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     members = asked.join(same.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("query_id", "rep")
     own = members.join(best, "rep").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return own.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return common.stage(own.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k), "nearest", keep=True)
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is a table on the shared store; nothing but two counters reaches the driver.
     """
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    links, mark = stage(links.where("u is not null and v is not null and u <> v").distinct(), "cc", keep=True), None
+    links, mark = stage(links.where("u is not null and v is not null and u <> v").distinct(), "cc"), None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -140,7 +140,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_ = small_.unionByName(low.select("u", F.col("m").alias("v")))
-        links = stage(small_.where("u <> v").distinct(), "cc", keep=True)
+        links = stage(small_.where("u <> v").distinct(), "cc")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return links.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(

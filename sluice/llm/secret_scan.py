@@ -112,6 +112,23 @@ def _spans(order: int, rule: Rule, text: str = "body") -> Column:
 _SPAN = "array<struct<start:int,ord:int,stop:int,size:int>>"
 
 
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """row (all columns of *docs*), text, and spans."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    with common.workspace(docs.sparkSession):
+        index = build_index(keyed.select("key", "text"), rules)
+        found = common.stage(candidates(index, rules), "candidates", keep=True)
+    rows = keyed.join(found, "key", "left").withColumn("body", F.coalesce("text", F.lit("")))
+    empty = F.array().cast(_SPAN)
+    per_rule = []
+    for k, r in enumerate(rules):
+        may = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+        if trigrams.query_of(r.pattern) == trigrams.ANY:
+            may = _occurs(r.pattern, F.col("body"))
+        per_rule.append(F.when(may, _spans(k, r, "body").cast(_SPAN)).otherwise(empty))
+    return rows.select("row", "text", F.array_sort(F.concat(*per_rule)).alias("spans"))
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All of *docs* with ``secret_spans``: array of (start, ord, stop, size), by start, then rule order.
 
@@ -123,35 +140,25 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     Null text counts as empty and has no spans; repeated rows are each scanned; an empty table gives
     no rows; all columns of *docs* are kept (one called secret_spans is replaced).
     """
-    keyed = docs.drop("secret_spans").withColumn("_scan_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    index = build_index(keyed.select(F.col("_scan_key").alias("key"), F.col(text_col)), rules, text_col)
-    found = candidates(index, rules).select(F.col("key").alias("_scan_key"), F.col("rules").alias("_scan_rules"))
-    rows = keyed.join(found, "_scan_key", "left").withColumn("_scan_body", F.coalesce(F.col(text_col), F.lit("")))
-    empty = F.array().cast(_SPAN)
-    per_rule = []
-    for k, r in enumerate(rules):
-        may = F.coalesce(F.col("_scan_rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
-        if trigrams.query_of(r.pattern) == trigrams.ANY:
-            may = _occurs(r.pattern, F.col("_scan_body"))
-        per_rule.append(F.when(may, _spans(k, r, "_scan_body").cast(_SPAN)).otherwise(empty))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*per_rule))).drop("_scan_key", "_scan_rules", "_scan_body")
+    out = _scanned(docs, rules, id_col, text_col)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "secret_spans"], F.col("spans").alias("secret_spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """*docs* with every span replaced by its kind in brackets; where spans overlap, the first counts
-    and the rest of a longer one goes with it.  Columns stay as they are; null texts stay null."""
-    columns = docs.columns
+    and the rest of a longer one goes with it.  All columns are kept, whatever they are called; null texts stay null."""
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    text = F.col(text_col)
+    text = F.col("text")
     step = lambda a, s: F.when(
         s["start"] >= a["at"],
         F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(kinds, s["ord"])).alias("out"), s["stop"].alias("at")),
     ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["stop"]).alias("at")))
     done = F.aggregate(
-        "secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
+        "spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return scan(docs, rules, id_col, text_col).withColumn(text_col, F.when(F.size("secret_spans") > 0, done).otherwise(text)).select(*columns)
+    new = F.when(F.size("spans") > 0, done).otherwise(text)
+    return _scanned(docs, rules, id_col, text_col).select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

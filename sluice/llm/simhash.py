@@ -29,6 +29,14 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of *hashes*: bit b is one if it is set in over half of them; of none: zero."""
+    votes = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), _CHUNK):  # bounded memory for very long texts
+        votes += np.unpackbits(hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """SimHash of word shingles: bit b is one if it is set in over half of their xxh64 (seed 42).
 
@@ -194,12 +202,14 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = BUDGET, id_c
     fingerprint zero and are linked like any other; null ids count as larger than all; repeated rows come
     back as often as they stand; an empty table gives no rows; other columns aren't read.
     """
-    rows = common.stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = common.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = common.connected_components(links(distinct.select("fp"), budget))
-    rooted = distinct.join(parts, distinct["fp"] == parts["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    with common.workspace(docs.sparkSession):
+        rows = common.stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints", keep=True)
+        distinct = common.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        parts = common.connected_components(links(distinct.select("fp"), budget))
+        rooted = distinct.join(parts, distinct["fp"] == parts["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        labels = common.stage(rooted.join(least, "root").select("fp", "component_id"), "labels", keep=True)
+    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

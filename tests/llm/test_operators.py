@@ -57,6 +57,16 @@ def test_exact_dedup(spark, docs, tmp_path, weak):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    one, two = [(5, "a b"), (6, "other")], [(3, "a  b"), (9, "a b"), (10, "new")]
+    for k, rows in enumerate((one, two)):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+        got = exact_dedup.exact_dedup(spark, f"{tmp_path}/d", state_dir=f"{tmp_path}/state").collect()
+        keep = {5: 5, 6: 6} if k == 0 else {5: 3, 6: 6, 3: 3, 9: 3, 10: 10}
+        assert {r.doc_id: r.keep_id for r in got} == keep
+    assert {r.group_size for r in got if r.keep_id == 3} == {3}
+
+
 def test_exact_dedup_of_nothing(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/d")
     assert exact_dedup.exact_dedup(spark, f"{tmp_path}/d").count() == 0
