@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,8 @@ class Aggregator:
     reduce: Callable[[Any, Any], Any]
     merge: Callable[[Any, Any], Any]
     finish: Callable[[Any], Any]
+    #: The same as one of Spark's own aggregates, where there is one: then no Python runs.
+    native: Callable[[str], Column] | None = None
 
 
 #: Average that skips nulls; null for no value.
@@ -31,8 +33,16 @@ AVERAGE = Aggregator(
     lambda b, x: b if x is None else (b[0] + x, b[1] + 1),
     lambda a, b: (a[0] + b[0], a[1] + b[1]),
     lambda b: b[0] / b[1] if b[1] else None,
+    F.avg,
 )
 
+
+def is_null(x: Any) -> bool:
+    """Whether a value of a pandas column stands for NULL; arrays and other objects don't."""
+    return x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x)
+
+
+
 #: Distinct keys a task holds before it hands its buffers on.
 KEYS_HELD = 200_000
 
@@ -43,6 +53,8 @@ def aggregate_by_key(df: DataFrame, key: str, value: str, aggregator: Aggregator
     Each partition folds its rows first and only buffers are shuffled, so a hot key sends one buffer a task
     (or one per KEYS_HELD other keys), whatever its rows.
     """
+    if aggregator.native is not None:
+        return df.groupBy(F.col(key).alias("key")).agg(aggregator.native(value).cast(result).alias("value"))
     kind = df.schema[key].dataType.simpleString()
 
     def fold(batches):
@@ -55,7 +67,7 @@ def aggregate_by_key(df: DataFrame, key: str, value: str, aggregator: Aggregator
 
         for batch in batches:
             for k, v in zip(batch[key], batch[value]):
-                k, v = None if pd.isna(k) else k, None if pd.isna(v) else v
+                k, v = None if is_null(k) else k, None if is_null(v) else v
                 held[k] = aggregator.reduce(held[k] if k in held else aggregator.zero(), v)
                 if len(held) >= KEYS_HELD:
                     yield flush()

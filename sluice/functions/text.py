@@ -14,7 +14,7 @@ def java_split(line: Column, separator: str = " ") -> Column:
     An empty line gives one empty string; a line of separators alone gives an empty array.
     """
     sep = "(?:" + re.escape(separator) + ")"
-    trimmed = F.regexp_replace(line, sep + "+$", "")
+    trimmed = F.rtrim(line, F.lit(separator)) if len(separator) == 1 else F.regexp_replace(line, sep + "+$", "")
     return F.when(line == "", F.array(F.lit(""))).when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, sep))
 
 

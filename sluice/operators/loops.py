@@ -18,13 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def iterate(state: DataFrame, body: Callable[[DataFrame, int], DataFrame], times: int,
-            until: Callable[[int], bool] | None = None, cut_every: int = 3) -> DataFrame:
-    """Apply *body* up to *times* times, or until *until*(round) says so; lineage is cut every few rounds."""
+            until: Callable[[DataFrame, int], bool] | None = None, cut_every: int = 3) -> DataFrame:
+    """Apply *body* up to *times* times, or until *until*(state, round) says so; lineage is cut every few rounds,
+    and before each look at the state, so that no round is computed twice."""
     for k in range(1, times + 1):
         state = body(state, k)
-        if k % cut_every == 0 and k < times:
+        if (until is not None or k % cut_every == 0) and k < times:
             state = cut(state)
-        if until is not None and until(k):
+        if until is not None and until(state, k):
             break
     return state
 

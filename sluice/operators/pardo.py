@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.loops import hoist
+
 TAG = "tag"
 
 
@@ -53,6 +55,9 @@ def par_do(df: DataFrame, fn: type[DoFn] | DoFn, schema: str, side: Any = None)
 
 
 def par_do_tagged(df: DataFrame, fn: type[DoFn] | DoFn, schema: str, tags: Iterable[str], side: Any = None) -> dict[str, DataFrame]:
-    """Several outputs: each row says its output in the column ``tag``; one frame a tag comes back."""
-    out = par_do(df, fn, f"{TAG} string, {schema}", side)
+    """Several outputs: each row says its output in the column ``tag``; one frame a tag comes back.
+
+    The outputs are kept (on disk where memory is short), so that *fn* runs once for all tags; unpersist one to let them go.
+    """
+    out = hoist(par_do(df, fn, f"{TAG} string, {schema}", side))
     return {t: out.where(F.col(TAG) == t).drop(TAG) for t in tags}

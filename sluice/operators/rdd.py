@@ -79,9 +79,33 @@ class Collection:
         found = dict(self.rdd.mapPartitionsWithIndex(lambda k, it: [(k, list(it))] if k in wanted else []).collect())
         return [found.get(k, []) for k in ids]
 
-    def count_by_value_approx(self, fraction: float = 0.1, seed: int = 1) -> dict:
-        """Counts of the values of a sample, scaled up."""
-        return {k: n / fraction for k, n in self.rdd.sample(False, fraction, seed).countByValue().items()}
+    def count_by_value_approx(self, timeout_ms: int, confidence: float = 0.95) -> dict[Any, tuple[float, float, float]]:
+        """(estimate, low, high) of each value's count, from the partitions that are counted when the time is up.
+
+        Partitions are counted in an order drawn once; what is missing is scaled up, with bounds for the given
+        confidence by the spread between partitions.  With all of them counted the bounds are the counts themselves.
+        """
+        import math
+        import random
+        import time
+        from statistics import NormalDist
+
+        n, ends = self.rdd.getNumPartitions(), time.monotonic() + timeout_ms / 1000
+        order, seen = random.Random(n).sample(range(n), n), []
+        step = max(1, self.rdd.context.defaultParallelism)
+        for k in range(0, n, step):
+            part = set(order[k : k + step])
+            counts = self.rdd.mapPartitionsWithIndex(lambda i, it, part=part: [_counts(it)] if i in part else [])
+            seen += counts.collect()
+            if time.monotonic() >= ends:
+                break
+        done, z, out = len(seen), NormalDist().inv_cdf((1 + confidence) / 2), {}
+        for value in {v for c in seen for v in c}:
+            each = [c.get(value, 0) for c in seen]
+            mean = sum(each) / done
+            spread = math.sqrt(sum((x - mean) ** 2 for x in each) / max(1, done - 1) / done * (1 - done / n)) if done < n else 0.0
+            out[value] = (mean * n, max(float(sum(each)), n * (mean - z * spread)), n * (mean + z * spread))
+        return out
 
     def max_by(self, compare) -> Any:
         return self.rdd.max(key=_order(compare))
@@ -114,6 +138,13 @@ class Collection:
         return _POOL.submit(self.rdd.foreachPartition, fn)
 
 
+def _counts(it) -> dict:
+    out: dict = {}
+    for x in it:
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
 def _fold(it, fn):
     out, any_ = None, False
     for x in it:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,14 @@ def key_ranges(sizes: list[list[int]], reducers: int) -> list[tuple[int, int]]:
     return list(zip(borders, [*borders[1:], len(totals) - 1]))
 
 
+def partition_by_ranges(df: DataFrame, bucket: Column, ranges: list[tuple[int, int]]) -> DataFrame:
+    """*df* dealt to one partition a range, by the bucket of each row."""
+    reducer = F.when(bucket < ranges[0][1], 0)
+    for k, (_, stop) in enumerate(ranges[1:], 1):
+        reducer = reducer.when(bucket < stop, k)
+    return df.repartitionById(len(ranges), reducer.otherwise(len(ranges) - 1))
+
+
 def salted_sum(df: DataFrame, key: str, value: str, salts: int = 16) -> DataFrame:
     """(key, total): first per (key, salt), then per key, so that no task gets a whole hot key's rows.
 
@@ -42,6 +50,13 @@ def salted_sum(df: DataFrame, key: str, value: str, salts: int = 16) -> DataFram
     return salted.groupBy(key, "salt").agg(F.sum(value).alias("part")).groupBy(key).agg(F.sum("part").alias("total"))
 
 
-def bucket_sizes(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """(bucket, size): how many rows each hash bucket holds."""
-    return df.groupBy(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
+def salted_lists(df: DataFrame, key: str, value: str, salts: int = 16) -> DataFrame:
+    """(key, n, distinct): exact count of distinct values per key, a hot key's rows dealt to *salts* tasks by value first."""
+    parts = df.groupBy(key, F.pmod(F.xxhash64(value), F.lit(salts)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set(value)).alias("kinds"))
+    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+
+
+def bucket_sizes(df: DataFrame, key: str | Column, buckets: int) -> DataFrame:
+    """(bucket, size): how many rows each hash bucket holds; a Column says the bucket itself."""
+    bucket = F.pmod(F.hash(key), F.lit(buckets)) if isinstance(key, str) else key
+    return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("size"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a side input has at most to be broadcast whole.
+#: Rows that a side input has at most to be broadcast whole, and characters of it as JSON.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_CHARS = 64 << 20
 
 
 def as_iterable(df: DataFrame, column: str) -> DataFrame:
@@ -35,8 +36,13 @@ def as_singleton(df: DataFrame) -> DataFrame:
 
 
 def with_side_input(df: DataFrame, view: DataFrame) -> DataFrame:
-    """Every row of *df* beside the one row of *view* (column ``side``)."""
-    return df.crossJoin(F.broadcast(view))
+    """Every row of *df* beside the one row of *view* (column ``side``).
+
+    The row is measured first; one too large to be broadcast is read by each task from the shuffle instead.
+    """
+    size = view.select(F.length(F.to_json(F.struct("side")))).first()
+    small = size is not None and size[0] <= BROADCAST_CHARS
+    return df.crossJoin(F.broadcast(view) if small else view.hint("shuffle_replicate_nl"))
 
 
 def lookup(df: DataFrame, side: DataFrame, key: str, side_key: str, how: str = "left") -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import aggregates
-from sluice.functions.text import java_split
+from sluice.functions.text import java_split, key_value_line
 from sluice.operators import frame, keyed, loops, pardo, rdd, skew, views
 from sluice.plans import programs
 from sluice.sources import io
@@ -294,9 +295,9 @@ def join_semi(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def join_anti(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderstatus = 'P'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -396,9 +397,16 @@ def pivot(spark, sf):
     return out.na.fill(0)
 
 
-@query()
+@query("SELECT true AS orders_near, true AS median_near")
 def approx_distinct(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.approx_count_distinct("l_orderkey").alias("orders"), F.percentile_approx("l_quantity", 0.5).alias("median"))
+    """Whether the estimates are near: distinct orders within a tenth, half of the rows at most and at least at the median."""
+    rows = table(spark, sf, "lineitem")
+    found = rows.agg(F.approx_count_distinct("l_orderkey").alias("about"), F.percentile_approx("l_quantity", 0.5).alias("median"))
+    exact = rows.crossJoin(F.broadcast(found)).agg(
+        F.count_distinct("l_orderkey").alias("orders"), F.first("about").alias("about"),
+        F.avg((F.col("l_quantity") <= F.col("median")).cast("int")).alias("low"), F.avg((F.col("l_quantity") >= F.col("median")).cast("int")).alias("high"),
+    )
+    return exact.select((F.abs(F.col("about") - F.col("orders")) <= 0.1 * F.col("orders")).alias("orders_near"), ((F.col("low") >= 0.49) & (F.col("high") >= 0.49)).alias("median_near"))
 
 
 # analytic windows
@@ -442,9 +450,21 @@ def top_k(spark, sf):
     return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT p_partkey, p_size FROM part")
+@query("SELECT p_partkey, p_size, true AS in_order FROM part")
 def sort_within_partitions(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", "p_size").repartition("p_size").sortWithinPartitions("p_size", "p_partkey")
+    """Rows with whether each comes after the one before it in its partition."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_size").repartition("p_size").sortWithinPartitions("p_size", "p_partkey")
+
+    def marked(batches):
+        import pandas as pd
+
+        last = None
+        for batch in batches:
+            pairs = list(zip(batch["p_size"], batch["p_partkey"]))
+            yield batch.assign(in_order=[x is None or x <= y for x, y in zip([last, *pairs], pairs)])
+            last = pairs[-1] if pairs else last
+
+    return rows.mapInPandas(marked, "p_partkey bigint, p_size int, in_order boolean")
 
 
 @query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 25")
@@ -462,9 +482,10 @@ def intersect_set(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def except_set(spark, sf):
-    return frame.except_distinct(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select("o_custkey"))
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    return frame.except_distinct(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), orders.select("o_custkey"))
 
 
 # partitioning and caching
@@ -492,24 +513,38 @@ def checkpoint_reuse(spark, sf):
     return loops.cut(table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query()
+@query("SELECT true AS all_known, true AS once, true AS share_near")
 def sample_seeded(spark, sf):
-    return table(spark, sf, "orders").sample(False, 0.1, 7).select("o_orderkey")
+    """Of a tenth: whether its rows are the table's, each once at most, and about as many as asked for."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    part = orders.sample(False, 0.1, 7)
+    known = part.join(orders.distinct().withColumn("known", F.lit(1)), "o_orderkey", "left")
+    counts = known.agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"), F.count_distinct("o_orderkey").alias("kinds")).crossJoin(orders.agg(F.count(F.lit(1)).alias("all")))
+    return counts.select((F.col("known") == F.col("n")).alias("all_known"), (F.col("kinds") == F.col("n")).alias("once"), (F.abs(F.col("n") / F.col("all") - 0.1) < 0.05).alias("share_near"))
 
 
-@query("SELECT o_orderkey FROM orders")
+@query("SELECT o_orderkey, 1 AS parts, true AS share_near FROM orders")
 def random_split_partition(spark, sf):
+    """Each order is in one part, and the first has about its share."""
     a, b = table(spark, sf, "orders").select("o_orderkey").randomSplit([0.3, 0.7], 5)
-    return a.union(b)
+    both = a.withColumn("first", F.lit(1)).union(b.withColumn("first", F.lit(0)))
+    share = both.agg((F.abs(F.avg("first") - 0.3) < 0.06).alias("share_near"))
+    return both.groupBy("o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("parts")).crossJoin(F.broadcast(share))
 
 
 # user-defined functions
 
 
-@query("SELECT c_custkey, 'Name: ' || c_name AS label FROM customer")
+@query("SELECT c_custkey, round(jaccard(c_name, c_mktsegment), 6) AS alike FROM customer")
 def udf_scalar(spark, sf):
-    label = F.pandas_udf(lambda names: "Name: " + names, "string")
-    return table(spark, sf, "customer").select("c_custkey", label("c_name").alias("label"))
+    """A function that Spark has no expression for: shared characters of two strings."""
+    @F.pandas_udf("double")
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([len(set(x) & set(y)) / max(1, len(set(x) | set(y))) for x, y in zip(a, b)])
+
+    return table(spark, sf, "customer").select("c_custkey", F.round(alike("c_name", "c_mktsegment"), 6).alias("alike"))
 
 
 class _CountByRegion(pardo.DoFn):
@@ -617,9 +652,18 @@ def als_golden_formula(spark, sf):
     return programs.als_without_gram(_ratings(spark, sf), rounds=2).select("item_id", F.round(F.log10("factor"), 6).alias("log_factor"))
 
 
-@query()
+@query("SELECT true AS fits_better, count(DISTINCT l_partkey) AS items FROM lineitem")
 def als_exact(spark, sf):
-    return programs.als(_ratings(spark, sf), features=4, rounds=2)
+    """Whether the factors predict ratings better than each item's mean does, and of how many items there are factors."""
+    ratings = _ratings(spark, sf)
+    items = programs.als(ratings, features=4, rounds=2)
+    users = programs.solve_side(ratings, items, "item_id", "user_id", 4)
+    mean = ratings.groupBy("item_id").agg(F.avg("rating").alias("mean"))
+    users, factors = users.withColumnRenamed("factors", "uf"), items.withColumnRenamed("factors", "vf")
+    both = ratings.join(mean, "item_id").join(factors, "item_id").join(users, "user_id")
+    guess = F.aggregate(F.zip_with("uf", "vf", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    error = lambda c: F.sqrt(F.avg((F.col("rating") - c) ** 2))
+    return both.agg((error(guess) < error(F.col("mean"))).alias("fits_better"), F.count_distinct("item_id").alias("items"))
 
 
 @query("""
@@ -637,9 +681,9 @@ def mlr_gradient_step(spark, sf):
     return spark.createDataFrame(cells, "class int, feature int, weight double")
 
 
-@query()
+@query("SELECT true AS near")
 def pi_estimate(spark, sf):
-    return programs.pi(spark, 1_000_000)
+    return programs.pi(spark, 1_000_000).select((F.abs(F.col("pi") - F.pi()) < 0.01).alias("near"))
 
 
 # skew
@@ -651,11 +695,116 @@ def salted_group_sum(spark, sf):
     return skew.salted_sum(rows, "k", "v").select("k", F.col("total").cast("double").alias("total"))
 
 
-@query()
+_RANGES = """
+WITH s AS (SELECT b, count(l_partkey) AS n FROM range(53) r(b) LEFT JOIN lineitem ON l_partkey % 53 = b GROUP BY b),
+p AS (SELECT b + 1 AS border, sum(n) OVER (ORDER BY b) AS total FROM s),
+k AS (SELECT k, k * ((SELECT max(total) FROM p) // 5) AS want FROM range(1, 5) r(k)),
+c AS (SELECT k, border, row_number() OVER (PARTITION BY k ORDER BY abs(total - want), border DESC) AS place FROM k, p),
+e AS (SELECT k, border FROM c WHERE place = 1 UNION ALL SELECT 0, 0 UNION ALL SELECT 5, 53)
+"""
+
+
+def _ranges(spark, sf):
+    bucket = F.pmod("l_partkey", F.lit(53))
+    sizes = {r["bucket"]: r["size"] for r in skew.bucket_sizes(table(spark, sf, "lineitem"), bucket, 53).collect()}  # one row a bucket
+    return bucket, skew.key_ranges([[sizes.get(b, 0) for b in range(skew.bucket_count(5))]], 5)
+
+
+@query(_RANGES + "SELECT CAST(border AS INTEGER) AS first, CAST(lead(border) OVER (ORDER BY k) AS INTEGER) AS stop FROM e QUALIFY stop IS NOT NULL")
 def skew_ranges(spark, sf):
-    n = skew.bucket_count(5, 2)
-    sizes = {r["bucket"]: r["size"] for r in skew.bucket_sizes(table(spark, sf, "lineitem"), "l_returnflag", n).collect()}  # one row a bucket
-    return spark.createDataFrame(skew.key_ranges([[sizes.get(b, 0) for b in range(n)]], 5), "first int, stop int")
+    return spark.createDataFrame(_ranges(spark, sf)[1], "first int, stop int")
+
+
+@query(_RANGES + """, r AS (SELECT k, border AS first, lead(border) OVER (ORDER BY k) AS stop FROM e)
+SELECT CAST(k AS INTEGER) AS part, count(*) AS n, count(DISTINCT l_partkey) AS kinds FROM lineitem JOIN r ON l_partkey % 53 >= first AND l_partkey % 53 < stop GROUP BY k""")
+def skew_partitions(spark, sf):
+    """Rows of each partition that the ranges make."""
+    bucket, ranges = _ranges(spark, sf)
+    rows = skew.partition_by_ranges(table(spark, sf, "lineitem").select("l_partkey"), bucket, ranges)
+    return rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("kinds"))
+
+
+@query("SELECT o_custkey % 3 AS k, count(*) AS n, count(DISTINCT o_totalprice) AS kinds FROM orders GROUP BY 1")
+def salted_distinct(spark, sf):
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("k"), "o_totalprice")
+    return skew.salted_lists(rows, "k", "o_totalprice").select("k", "n", F.col("kinds").cast("bigint").alias("kinds"))
+
+
+# loops and side inputs
+
+
+@query("SELECT p_partkey, CAST(floor(log2(p_size)) AS INTEGER) + 1 AS rounds FROM part WHERE p_size > 0")
+def loop_until_stable(spark, sf):
+    """Halve until nothing is left: the loop ends by its state."""
+    state = table(spark, sf, "part").where("p_size > 0").select("p_partkey", F.col("p_size").alias("left"), F.lit(0).alias("rounds"))
+    body = lambda x, _: x.select("p_partkey", F.expr("cast(left div 2 as int)").alias("left"), (F.col("rounds") + (F.col("left") > 0).cast("int")).alias("rounds"))
+    return loops.iterate(state, body, 40, until=lambda x, _: x.where("left > 0").isEmpty()).select("p_partkey", "rounds")
+
+
+@query("SELECT n_nationkey + 3 AS nation, NULL::INTEGER AS region FROM nation UNION ALL SELECT NULL, r_regionkey * 8 FROM region")
+def loops_together(spark, sf):
+    nations, regions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("x")), table(spark, sf, "region").select(F.col("r_regionkey").alias("x"))
+    a, b = loops.iterate_together([nations, regions], [lambda d, _: d.select((F.col("x") + 1).alias("x")), lambda d, _: d.select((F.col("x") * 2).alias("x"))], 3)
+    return a.select(F.col("x").alias("nation"), F.lit(None).cast("int").alias("region")).union(b.select(F.lit(None).cast("int"), "x"))
+
+
+@query("SELECT 'line: ' || r_name || chr(10) || (SELECT string_agg(r_name, chr(10) ORDER BY r_name) FROM region) AS value FROM region")
+def broadcast_each_line(spark, sf):
+    return programs.each_line_with_all(table(spark, sf, "region").select(F.col("r_name").alias("value")))
+
+
+@query("SELECT n_name || ': ' || CAST(n_regionkey AS VARCHAR) AS value FROM nation")
+def write_key_value_lines(spark, sf):
+    path = _scratch(spark)
+    io.write_text(table(spark, sf, "nation").select(key_value_line(F.col("n_name"), F.col("n_regionkey"))), path)
+    return io.read(spark, "text", path)
+
+
+@query("SELECT e.event_id AS event, f.event_id AS other FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts > e.ts AND f.ts <= e.ts + INTERVAL 20 MINUTE")
+def join_interval(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    pairs = frame.interval_join(events, events, "user_id", "ts", "ts", 0, 1200).where("_2.ts > _1.ts")
+    return pairs.select(F.col("_1.event_id").alias("event"), F.col("_2.event_id").alias("other"))
+
+
+# datasets of objects and texts
+
+
+@dataclass(frozen=True)
+class _Nation:
+    name: str
+    region: int
+
+
+@query("SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def dataset_of_objects(spark, sf):
+    made = [_Nation(r["n_name"], r["n_regionkey"]) for r in table(spark, sf, "nation").collect()]  # 25 rows
+    return io.from_objects(spark, made, _Nation).unionByName(io.empty(spark, "name string, region bigint"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation")
+def typed_view(spark, sf):
+    return frame.typed(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name")), "k bigint, name string")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS k, n_name AS name FROM nation")
+def json_from_strings(spark, sf):
+    lines = table(spark, sf, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))).alias("value"))
+    return io.json_lines(spark, lines, "k int, name string")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS k, n_name AS name FROM nation")
+def csv_from_strings(spark, sf):
+    lines = table(spark, sf, "nation").select(F.to_csv(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))).alias("value"))
+    return io.csv_lines(lines, "k int, name string")
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey")
+def unpersist_after_use(spark, sf):
+    base = loops.hoist(table(spark, sf, "supplier").select("s_nationkey"))
+    out = loops.cut(base.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n")))
+    base.unpersist()
+    return out
 
 
 # time
@@ -686,7 +835,117 @@ def session_window_events(spark, sf):
 # the RDD surface
 
 
+def _pairs(spark, sf, name, key, value):
+    return rdd.Collection.of(table(spark, sf, name).select(key, value)).map_to_pair(lambda r: (r[0], r[1]))
+
+
 @query("SELECT n_regionkey AS key, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY n_regionkey")
 def rdd_map_to_pair_reduce(spark, sf):
-    pairs = rdd.Collection.of(table(spark, sf, "nation")).map_to_pair(lambda r: (r["n_regionkey"], r["n_nationkey"])).reduceByKey(lambda a, b: a + b)
+    pairs = _pairs(spark, sf, "nation", "n_regionkey", "n_nationkey").reduceByKey(lambda a, b: a + b)
     return spark.createDataFrame(pairs.rdd, "key int, total bigint")
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM region JOIN nation ON n_regionkey = r_regionkey")
+def rdd_join(spark, sf):
+    both = _pairs(spark, sf, "region", "r_regionkey", "r_name").join(_pairs(spark, sf, "nation", "n_regionkey", "n_name"))
+    return spark.createDataFrame(both.values().rdd, "region string, nation string")
+
+
+@query("SELECT n_nationkey AS key, s.n AS suppliers, c.n AS customers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey WHERE s.n IS NOT NULL OR c.n IS NOT NULL")
+def rdd_outer_joins(spark, sf):
+    count = lambda name, key: rdd.Collection.of(table(spark, sf, name).select(key)).keyBy(lambda r: r[0]).mapValues(lambda _: 1).reduceByKey(lambda a, b: a + b)
+    both = count("supplier", "s_nationkey").fullOuterJoin(count("customer", "c_nationkey"))
+    return spark.createDataFrame(both.map(lambda x: (x[0], *x[1])).rdd, "key int, suppliers bigint, customers bigint")
+
+
+@query("SELECT n_nationkey AS key, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation")
+def rdd_cogroup(spark, sf):
+    none = _pairs(spark, sf, "nation", "n_nationkey", "n_name")
+    sides = [rdd.Collection.of(table(spark, sf, name).select(key, key)).map_to_pair(lambda r: (r[0], 1)) for name, key in (("supplier", "s_nationkey"), ("customer", "c_nationkey"))]
+    grouped = none.groupWith(*(x.rdd for x in sides))
+    return spark.createDataFrame(grouped.map(lambda x: (x[0], len(x[1][1]), len(x[1][2]))).rdd, "key int, suppliers bigint, customers bigint")
+
+
+@query("SELECT p_partkey AS key, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS place FROM part")
+def rdd_sort_with_index(spark, sf):
+    rows = rdd.Collection.of(table(spark, sf, "part").select("p_partkey", "p_retailprice"))
+    placed = rows.sortBy(lambda r: (-r[1], r[0]), numPartitions=3).zipWithIndex()
+    return spark.createDataFrame(placed.map(lambda x: (x[0][0], x[1])).rdd, "key bigint, place bigint")
+
+
+@query("SELECT c_custkey AS key, c_name AS name FROM customer ORDER BY c_custkey DESC LIMIT 30")
+def rdd_sort_by_key(spark, sf):
+    pairs = _pairs(spark, sf, "customer", "c_custkey", "c_name").sortByKey(ascending=False)
+    return spark.createDataFrame(pairs.take(30), "key bigint, name string")
+
+
+@query("SELECT sum(n_nationkey) AS total, count(*) AS n, max(n_nationkey) AS most, min(n_nationkey) AS least, sum(n_nationkey) AS folded, sum(n_nationkey) AS tree, count(*) AS tree_n FROM nation")
+def rdd_aggregates(spark, sf):
+    x = rdd.Collection.of(table(spark, sf, "nation").select("n_nationkey")).map(lambda r: r[0])
+    total, n = x.aggregate((0, 0), lambda a, v: (a[0] + v, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    found = (total, n, x.max(), x.min(), x.fold(0, lambda a, b: a + b), x.treeReduce(lambda a, b: a + b), x.treeAggregate(0, lambda a, _: a + 1, lambda a, b: a + b))
+    return spark.createDataFrame([found], "total bigint, n bigint, most bigint, least bigint, folded bigint, tree bigint, tree_n bigint")
+
+
+@query("SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_size > 20")
+def rdd_flat_map_distinct(spark, sf):
+    rows = rdd.Collection.of(table(spark, sf, "part").select("p_name", "p_size")).filter(lambda r: r[1] > 20)
+    words = rows.flatMap(lambda r: r[0].lower().split(" ")).distinct()
+    return spark.createDataFrame(words.map(lambda w: (w,)).rdd, "word string")
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, max(p_size) AS largest FROM part GROUP BY p_brand")
+def rdd_group_by(spark, sf):
+    grouped = rdd.Collection.of(table(spark, sf, "part").select("p_brand", "p_size")).groupBy(lambda r: r[0])
+    return spark.createDataFrame(grouped.mapValues(list).map(lambda x: (x[0], len(x[1]), max(r[1] for r in x[1]))).rdd, "brand string, n bigint, largest int")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def rdd_count_by_value(spark, sf):
+    counts = rdd.Collection.of(table(spark, sf, "orders").select("o_orderstatus")).map(lambda r: r[0]).countByValue()
+    return spark.createDataFrame(sorted(counts.items()), "status string, n bigint")
+
+
+@query("SELECT CAST(k // 4 AS INTEGER) AS part, list(k ORDER BY k) AS held, sum(k) AS total FROM range(12) r(k) GROUP BY 1")
+def rdd_partitions(spark, sf):
+    """Contiguous slices, by glom, by index and by chosen partitions."""
+    x = rdd.Collection.parallelize(spark, range(12), 3)
+    sums = dict(x.mapPartitionsWithIndex(lambda k, it: [(k, sum(it))]).collect())
+    assert x.collect_partitions([2, 0]) == [[8, 9, 10, 11], [0, 1, 2, 3]] and x.getNumPartitions() == 3
+    return spark.createDataFrame([(k, held, sums[k]) for k, held in enumerate(x.glom().collect())], "part int, held array<bigint>, total bigint")
+
+
+@query("SELECT 'least' AS kind, c_custkey AS key FROM (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 5) UNION ALL SELECT 'top', c_custkey FROM (SELECT c_custkey FROM customer ORDER BY 1 DESC LIMIT 5)")
+def rdd_take_ordered(spark, sf):
+    x = rdd.Collection.of(table(spark, sf, "customer").select("c_custkey")).map(lambda r: r[0])
+    return spark.createDataFrame([("least", k) for k in x.takeOrdered(5)] + [("top", k) for k in x.top(5)], "kind string, key bigint")
+
+
+@query("SELECT n_regionkey AS key, CAST(avg(n_nationkey) AS DOUBLE) AS mean FROM nation WHERE n_regionkey <> 1 GROUP BY n_regionkey")
+def rdd_combine_subtract(spark, sf):
+    pairs = _pairs(spark, sf, "nation", "n_regionkey", "n_nationkey").subtractByKey(rdd.Collection.parallelize(spark, [(1, None)]))
+    sums = pairs.combineByKey(lambda v: (v, 1), lambda a, v: (a[0] + v, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    return spark.createDataFrame(sums.mapValues(lambda a: a[0] / a[1]).rdd, "key int, mean double")
+
+
+@query("SELECT k AS value FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) WHERE k NOT IN (3, 4)")
+def rdd_set_operations(spark, sf):
+    a, b = (rdd.Collection.of(table(spark, sf, t).select(c)).map(lambda r: r[0]) for t, c in (("nation", "n_nationkey"), ("region", "r_regionkey")))
+    kept = a.union(b).subtract(rdd.Collection.parallelize(spark, [3, 4])).coalesce(2).repartition(3)
+    return spark.createDataFrame(kept.map(lambda x: (x,)).rdd, "value int")
+
+
+@query("SELECT n_name AS line FROM nation")
+def rdd_text_and_objects(spark, sf):
+    """Lines written as objects and as text, and read again."""
+    one, two = _scratch(spark), _scratch(spark)
+    rdd.Collection.of(table(spark, sf, "nation").select("n_name")).map(lambda r: r[0]).save_as_object_file(one)
+    rdd.Collection(spark.sparkContext.pickleFile(one)).saveAsTextFile(two)
+    return spark.createDataFrame(rdd.Collection(spark.sparkContext.textFile(two)).map(lambda x: (x,)).rdd, "line string")
+
+
+@query("SELECT count(*) AS n, sum(n_nationkey) AS total, 3 AS taken FROM nation")
+def rdd_async(spark, sf):
+    x = rdd.Collection.of(table(spark, sf, "nation").select("n_nationkey")).map(lambda r: r[0])
+    n, all_, few = x.count_async(), x.collect_async(), x.take_async(3)
+    return spark.createDataFrame([(n.result(), sum(all_.result()), len(few.result()))], "n bigint, total bigint, taken int")

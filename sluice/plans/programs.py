@@ -73,31 +73,36 @@ def als(ratings: DataFrame, features: int = 10, rounds: int = 3, regularization:
     ratings = loops.hoist(ratings.select("user_id", "item_id", "rating"))
     start = F.array(F.avg("rating"), *[(F.pmod(F.xxhash64("item_id", F.lit(seed + k)), F.lit(10_000)) / 1_000_000.0) for k in range(1, features)])
     items = ratings.groupBy("item_id").agg(start.alias("factors"))
+    def both(known: DataFrame, _: int) -> DataFrame:
+        users = solve_side(ratings, known, "item_id", "user_id", features, regularization)
+        return solve_side(ratings, users, "user_id", "item_id", features, regularization)
+
+    return loops.iterate(items, both, rounds)
+
+
+def solve_side(ratings: DataFrame, known: DataFrame, key: str, other: str, features: int, regularization: float = 0.05) -> DataFrame:
+    """(*other*, factors): least squares of the ratings against the *known* factors of *key*."""
     upper = [(a, b) for a in range(features) for b in range(a, features)]
+    rows = ratings.join(known, key).select(other, "rating", *[F.col("factors")[k].alias(f"f{k}") for k in range(features)])
+    gram = [F.sum(F.col(f"f{a}") * F.col(f"f{b}")).alias(f"g{a}_{b}") for a, b in upper]
+    right = [F.sum(F.col("rating") * F.col(f"f{k}")).alias(f"r{k}") for k in range(features)]
+    sums = rows.groupBy(other).agg(F.count(F.lit(1)).alias("n"), *gram, *right)
 
-    def side(known: DataFrame, key: str, other: str) -> DataFrame:
-        rows = ratings.join(known, key).select(other, "rating", *[F.col("factors")[k].alias(f"f{k}") for k in range(features)])
-        gram = [F.sum(F.col(f"f{a}") * F.col(f"f{b}")).alias(f"g{a}_{b}") for a, b in upper]
-        right = [F.sum(F.col("rating") * F.col(f"f{k}")).alias(f"r{k}") for k in range(features)]
-        sums = rows.groupBy(other).agg(F.count(F.lit(1)).alias("n"), *gram, *right)
-
-        def solve(batches):
-            import pandas as pd
-
-            for batch in batches:
-                n = len(batch)
-                g = np.zeros((n, features, features))
-                for a, b in upper:
-                    g[:, a, b] = g[:, b, a] = batch[f"g{a}_{b}"]
-                g += (regularization * batch["n"].to_numpy())[:, None, None] * np.eye(features)
-                r = np.stack([batch[f"r{k}"].to_numpy(float) for k in range(features)], axis=1)
-                x = np.linalg.solve(g, r[..., None])[..., 0] if n else r
-                yield pd.DataFrame({other: batch[other], "factors": list(x)})
-
-        kind = ratings.schema[other].dataType.simpleString()
-        return sums.mapInPandas(solve, f"{other} {kind}, factors array<double>")
+    def solve(batches):
+        import pandas as pd
 
-    return loops.iterate(items, lambda x, _: side(side(x, "item_id", "user_id"), "user_id", "item_id"), rounds)
+        for batch in batches:
+            n = len(batch)
+            g = np.zeros((n, features, features))
+            for a, b in upper:
+                g[:, a, b] = g[:, b, a] = batch[f"g{a}_{b}"]
+            g += (regularization * batch["n"].to_numpy())[:, None, None] * np.eye(features)
+            r = np.stack([batch[f"r{k}"].to_numpy(float) for k in range(features)], axis=1)
+            x = np.linalg.solve(g, r[..., None])[..., 0] if n else r
+            yield pd.DataFrame({other: batch[other], "factors": list(x)})
+
+    kind = ratings.schema[other].dataType.simpleString()
+    return sums.mapInPandas(solve, f"{other} {kind}, factors array<double>")
 
 
 def logistic_gradient(examples: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float, int]:
@@ -127,12 +132,10 @@ def logistic_gradient(examples: DataFrame, weights: np.ndarray) -> tuple[np.ndar
         yield pa.RecordBatch.from_pydict({"gradient": [total.ravel().tolist()], "loss": [loss], "n": [n]})
 
     parts = examples.select("label", "features").mapInArrow(run, "gradient array<double>, loss double, n bigint")
-    cells = parts.select(F.posexplode("gradient").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).collect()
-    stats = parts.agg(F.sum("loss"), F.sum("n")).first()
-    out = np.zeros(weights.size)
-    for r in cells:
-        out[r["k"]] = r["g"]
-    return out.reshape(shape), stats[0] or 0.0, stats[1] or 0
+    total, loss, n = np.zeros(weights.size), 0.0, 0
+    for r in parts.toLocalIterator():  # one row a task, one at a time
+        total, loss, n = total + np.array(r["gradient"]), loss + r["loss"], n + r["n"]
+    return total.reshape(shape), loss, n
 
 
 def logistic_regression(examples: DataFrame, classes: int, features: int, rounds: int = 3) -> tuple[np.ndarray, list[float]]:

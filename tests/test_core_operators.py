@@ -105,7 +105,7 @@ def test_rdd_surface(spark):
     back = lambda a, b: b - a
     assert c.max_by(back) == 1 and c.min_by(back) == 5 and c.top_by(2, back) == [1, 2] and c.take_ordered_by(2, back) == [5, 4]
     assert c.count_async().result(60) == 5 and sorted(c.collect_async().result(60)) == [1, 2, 3, 4, 5] and len(c.take_async(2).result(60)) == 2
-    assert c.count_by_value_approx(1.0) and sum(len(x.collect()) for x in c.randomSplit([0.5, 0.5], 3)) == 5
+    assert c.count_by_value_approx(60_000) and sum(len(x.collect()) for x in c.randomSplit([0.5, 0.5], 3)) == 5
     assert c.union(c).count() == 10 and c.distinct().getNumPartitions() > 0
 
 
@@ -113,7 +113,7 @@ def test_loops(spark):
     one = spark.createDataFrame([(1,)], "x long")
     step = lambda d, k: d.select((F.col("x") * 2).alias("x"))
     assert loops.iterate(one, step, 7).first().x == 128
-    assert loops.iterate(one, step, 7, until=lambda k: k == 3).first().x == 8
+    assert loops.iterate(one, step, 7, until=lambda _, k: k == 3).first().x == 8
     a, b = loops.iterate_together([one, one], [step, lambda d, k: d.select((F.col("x") + k).alias("x"))], 3)
     assert (a.first().x, b.first().x) == (8, 7)
 
@@ -225,3 +225,60 @@ def test_streams_count_as_batches_do(spark, sf, tmp_path):
     query.awaitTermination()
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(spark.table("by_day")) == rows(windows.windowed(batch, "ts", "1 day"))
+
+
+def test_merges_of_arrays(spark):
+    pairs = spark.createDataFrame([("a", [1, 2]), ("a", [3, 4]), ("b", None), ("b", [5, 6]), (None, [7, 8])], "key string, value array<bigint>")
+    got = {r.key: list(r.value) for r in keyed.reduce_by_key(pairs, lambda a, b: [x + y for x, y in zip(a, b)]).collect()}
+    assert got == {"a": [4, 6], "b": [5, 6], None: [7, 8]}
+
+
+def test_joins_beside_columns_of_their_own_names(spark):
+    left = spark.createDataFrame([(1, 10, "x", "y")], "k int, t int, side string, v string")
+    right = spark.createDataFrame([(1, 5, 7), (1, 11, 8)], "k int, t int, x int")
+    assert [tuple(r) for r in frame.as_of_join(left, right, "k", "t", "t", "x").collect()] == [(1, 10, "x", "y", 7)]
+
+
+def test_interval_join_at_its_borders(spark):
+    at = spark.createDataFrame([(1, float(t)) for t in (0, 59, 60, 61, 120, 500)] + [(None, 1.0)], "k int, t double")
+    got = {(r["_1"].t, r["_2"].t) for r in frame.interval_join(at, at, "k", "t", "t", 1, 60).collect()}
+    times = [0, 59, 60, 61, 120, 500]
+    assert got == {(a, b) for a in times for b in times if a - 1 <= b <= a + 60}
+
+
+def test_large_side_input_is_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(k,) for k in range(5)], "x int")
+    view = views.as_iterable(rows, "x")
+    want = [(k, [0, 1, 2, 3, 4]) for k in range(5)]
+    for chars, node in ((views.BROADCAST_CHARS, "Broadcast"), (3, "CartesianProduct")):
+        monkeypatch.setattr(views, "BROADCAST_CHARS", chars)
+        out = views.with_side_input(rows, view)
+        assert sorted((r.x, list(r.side)) for r in out.collect()) == want
+        assert node in out._jdf.queryExecution().toString()
+
+
+def test_tagged_outputs_run_the_body_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Count(pardo.DoFn):
+        def process(self, element, side=None):
+            seen.add(1)
+            yield {"tag": "odd" if element["x"] % 2 else "even", "x": element["x"]}
+
+    out = pardo.par_do_tagged(spark.createDataFrame([(k,) for k in range(10)], "x int"), Count(), "x int", ["odd", "even"])
+    assert (out["odd"].count(), out["even"].count(), seen.value) == (5, 5, 10)
+
+
+def test_counts_that_are_not_all_there_have_bounds(spark):
+    c = rdd.Collection.parallelize(spark, [k % 3 for k in range(4000)], 40)
+    full = c.count_by_value_approx(60_000)
+    assert full[0][0] == full[0][1] == full[0][2] == 1334
+    some = c.count_by_value_approx(0)
+    assert all(low <= n <= high and abs(n - 1333) < 200 for n, low, high in some.values())
+
+
+def test_slices_are_contiguous_and_csv_texts_read(spark):
+    df = io.from_list(spark, range(10), "value bigint", slices=3)
+    assert [[r[0] for r in part] for part in df.rdd.glom().collect()] == [[0, 1, 2], [3, 4, 5], [6, 7, 8, 9]]
+    lines = spark.createDataFrame([('1,"a, b"',), (None,), ("",)], "value string")
+    assert [tuple(r) for r in io.csv_lines(lines, "k int, name string").collect()][0] == (1, "a, b")
