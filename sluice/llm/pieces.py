@@ -18,6 +18,9 @@ DROPOUT = 0.1
 SEED = 11
 #: Segmented words that a worker keeps before it forgets them.
 CACHE_WORDS = 500_000
+CACHE_CHARS = 16 << 20
+#: Words with more characters are segmented one by one, with a heap: side by side each merge would pass over all of them.
+LONG_WORD = 400
 _UNIT = re.compile(" *[^ ]+| +")
 _LITERAL = "\x00" + SPACE  # the text's own U+2581, which must not be read back as a space
 _M64 = (1 << 64) - 1
@@ -59,6 +62,7 @@ class Pieces:
     def _forget(self) -> None:
         """Without words: each known word's number, and by number its ids without dropout and where its merges' borders stand."""
         self._known: dict[str, int] = {}
+        self._chars = 0
         self._plain: list[bytes] = []
         self._borders, self._first, self._count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -67,6 +71,7 @@ class Pieces:
         ids = self._segment_many(words, None, merges)
         count = np.fromiter((-1 if m is None else len(m) // 8 for m in merges), np.int64, len(merges))  # -1: segmented anew each time
         size = np.maximum(count, 0)
+        self._chars += sum(map(len, words))
         self._known.update(zip(words, range(len(self._plain), len(self._plain) + len(words))))
         self._plain += ids
         self._first = np.append(self._first, len(self._borders) + np.cumsum(size) - size)
@@ -140,7 +145,7 @@ class Pieces:
         start = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stop = start + 1
         key = None if keys is None or not self._skip_below else np.broadcast_to(np.asarray(keys, np.uint64), len(units))
-        slow = np.unique(word[sym == 0])
+        slow = np.union1d(word[sym == 0], np.flatnonzero(sizes > LONG_WORD))
         out: list[bytes] = [b""] * len(units)
         for k in slow.tolist():
             out[k] = array("I", self._segment(units[k], None if key is None else int(key[k]))).tobytes()
@@ -237,7 +242,7 @@ class Pieces:
     def _occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """Ids of each word by its own key.  What no draw touches is kept by word: its ids without dropout and the
         merges that lead there; only occurrences that skip one of those are segmented anew."""
-        if len(self._known) > self._limit:
+        if len(self._known) > self._limit or self._chars > CACHE_CHARS:
             self._forget()
         lack = list(set(units) - self._known.keys())
         for k in range(0, len(lack), _TOGETHER):

@@ -28,6 +28,7 @@ THRESHOLD = 0.7
 PRIOR = 60
 #: Words whose parts a worker keeps before it forgets them.
 CACHE_WORDS = 300_000
+CACHE_CHARS = 16 << 20
 #: Texts scored together.
 _ROWS = 500
 
@@ -180,16 +181,21 @@ class Scorer:
         self._weights, self._bias = weights, bias
         self._recency = weights[recency_buckets(len(weights))].astype(np.float64)
         self._number: dict[str, int] = {}
+        self._chars = 0
         self._parts, self._sizes = np.zeros(0), np.zeros(0)
 
     def _learn(self, words: list[str]) -> None:
         ids, whose = features(words, len(self._weights))
-        if len(self._number) + len(words) > CACHE_WORDS:
-            self._number, self._parts, self._sizes = {}, np.zeros(0), np.zeros(0)
+        if self._full(len(words)):
+            self._chars, self._number, self._parts, self._sizes = 0, {}, np.zeros(0), np.zeros(0)
+        self._chars += sum(map(len, words))
         self._number.update(zip(words, range(len(self._number), len(self._number) + len(words))))
         self._parts = np.append(self._parts, np.bincount(whose, weights=self._weights[ids], minlength=len(words)))
         self._sizes = np.append(self._sizes, np.bincount(whose, minlength=len(words)))
 
+    def _full(self, more: int) -> bool:
+        return len(self._number) + more > CACHE_WORDS or self._chars > CACHE_CHARS
+
     def scores(self, texts: list[str | None]) -> list[float]:
         """Between 0 and 1; for a text without words what the constant part says."""
         out: list[float] = []
@@ -197,7 +203,7 @@ class Scorer:
             split = [(t or "").split() for t in texts[k : k + _ROWS]]
             new = set().union(*split)
             lack = new - self._number.keys()
-            if len(self._number) + len(lack) > CACHE_WORDS:
+            if lack and self._full(len(lack)):
                 lack = new
             if lack:
                 self._learn(list(lack))

@@ -9,6 +9,7 @@ from array import array
 
 #: Words kept in a worker's memory before the store is emptied and filled anew.
 CACHE_WORDS = 1_200_000
+CACHE_CHARS = 24 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -50,6 +51,7 @@ class WordEncoder:
         self._split = regex.compile(public_tokenizers.PATTERN).findall  # byte-level vocabularies' splitting rule
         self._words: dict[str, bytes] = {}
         self._limit = cache_words
+        self._chars = 0  # of all words kept
         self._inner: dict[str, bytes | bool] = {}
         self._whole: dict[str, bytes] = {}
 
@@ -72,6 +74,7 @@ class WordEncoder:
         """Inner pieces: those that follow a space. False: that space can't be cut at."""
         unsafe = {p for p in texts if not p or p[0].isspace() or p[-1].isspace()}
         safe = list(texts - unsafe)
+        self._chars += sum(map(len, texts))
         if len(self._inner) + len(texts) > self._limit:
             self._inner.clear()
         self._inner.update(dict.fromkeys(unsafe, False))
@@ -87,6 +90,12 @@ class WordEncoder:
                 last += " " + w
         return [*out, last]
 
+    def _forget_much(self) -> None:
+        if self._chars > CACHE_CHARS:
+            for held in (self._words, self._inner, self._whole):
+                held.clear()
+            self._chars = 0
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One value per text; null counts as empty.  Added tokens part a text wherever they are spelled out."""
         parted = {k: self._at_added.split(t) for k, t in enumerate(texts) if t and any(x in t for x in self._added)}
@@ -102,6 +111,7 @@ class WordEncoder:
         return out
 
     def _plain(self, texts: list[str | None]) -> list[bytes]:
+        self._forget_much()
         split = [(t or "").split(" ") for t in texts]
         got = [list(map(self._inner.get, words[1:])) for words in split]
         lack: set[str] = set()
@@ -117,6 +127,7 @@ class WordEncoder:
         parts = {k: self._pieces(split[k]) for k in slow}
         firsts = {w[0] for k, w in enumerate(split) if k not in parts} | {p for x in parts.values() for p in x}
         new = list(firsts - self._whole.keys())
+        self._chars += sum(map(len, new))
         if len(self._whole) + len(new) > self._limit // 4:
             self._whole.clear()
             new = list(firsts)

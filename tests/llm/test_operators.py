@@ -103,6 +103,20 @@ def test_merge_dropout_draws_for_each_occurrence():
     assert noisy.encode(text, 8) != noisy.encode(text, 7)
 
 
+def test_merge_dropout_of_very_long_words():
+    import time
+
+    path, rng = tokens.vocabulary("piece_bpe_32k.model"), random.Random(3)
+    noisy = pieces.Pieces(path, 0.3)
+    long = "".join(rng.choice("aeinrst") for _ in range(60_000))
+    began = time.perf_counter()
+    ids = noisy.encode(f"x {long} y", 5)
+    assert noisy.decode(ids) == f"x {long} y" and time.perf_counter() - began < 20
+    unit = " " + long[:399]  # as long as words are that are segmented side by side
+    keys = np.array([9], np.uint64)
+    assert noisy._segment_many([unit], keys)[0] == struct.pack(f"<{len(noisy._segment(unit, 9))}I", *noisy._segment(unit, 9))
+
+
 def line_frame(spark, rows, schema="doc_id long, text string"):
     return spark.createDataFrame(rows, schema)
 
