@@ -85,6 +85,21 @@ def scan_orc_roundtrip(spark, sf):
     return io.read(spark, "orc", path)
 
 
+@query("SELECT way, n_nationkey AS k, n_name AS name FROM nation, (VALUES ('whole'), ('ranges'), ('predicates')) w(way)")
+def scan_jdbc(spark, sf):
+    """A table written to and read from an embedded database: whole, by ranges of a column, by predicates."""
+    import uuid
+
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table(spark, sf, "nation").select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME")).write.jdbc(url, "nation", properties=driver)
+    ways = {
+        "whole": io.read_jdbc(spark, url, "nation", properties=driver),
+        "ranges": io.read_jdbc(spark, url, "nation", column="K", lower=0, upper=25, partitions=3, properties=driver),
+        "predicates": io.read_jdbc(spark, url, "nation", predicates=['"K" < 10', '"K" >= 10'], properties=driver),
+    }
+    return keyed.flatten(*[df.select(F.lit(way).alias("way"), F.col("K").alias("k"), F.col("NAME").alias("name")) for way, df in ways.items()])
+
+
 @query("SELECT CAST(range AS BIGINT) AS value FROM range(100)")
 def create_from_list(spark, sf):
     return io.from_list(spark, range(100), "value bigint", slices=5)
@@ -370,9 +385,14 @@ def drop_duplicates_subset(spark, sf):
     return table(spark, sf, "customer").dropDuplicates(["c_nationkey", "c_mktsegment"]).select("c_nationkey", "c_mktsegment")
 
 
-@query()
+@query("""
+SELECT unnest(['count', 'mean', 'stddev', 'min', 'max']) AS summary, round(unnest([count(o_totalprice), avg(o_totalprice), stddev_samp(o_totalprice), min(o_totalprice), max(o_totalprice)]), 3) AS price,
+       unnest(['', '', '', min(o_orderstatus), max(o_orderstatus)]) AS status FROM orders
+""")
 def describe(spark, sf):
-    return table(spark, sf, "orders").describe("o_totalprice")
+    out = table(spark, sf, "orders").describe("o_totalprice", "o_orderstatus")
+    text = F.when(F.col("summary").isin("min", "max"), F.col("o_orderstatus")).otherwise(F.lit(""))  # the mean of texts is NULL, their count that of rows
+    return out.select("summary", F.round(F.col("o_totalprice").cast("double"), 3).alias("price"), text.alias("status"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
