@@ -188,20 +188,19 @@ def test_fingerprints_by_blocks(spark):
     import xxhash
 
     lines = [" ".join(f"word{k * k}" for k in range(n)) for n in (1, 2, 7, 30, 64, 300, 3000)] + ["the the the end"]
-    per = line_dedup.BITS // 3
     for r in line_dedup.fingerprints(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "a long, norm string")).collect():
         blocks = [[] for _ in range(line_dedup.BLOCKS)]
         for w in set(lines[r.a].split(" ")):
             h = xxhash.xxh64_intdigest(w, 42)
             blocks[(h >> 50) % line_dedup.BLOCKS].append(h)
-        fp, words = [0, 0], 0
+        fp, words = [0, 0, 0], 0
         for g, hs in enumerate(blocks):
-            for lane in range(3):
-                for j in range(per):
-                    if 2 * sum(h >> 21 * lane + j & 1 for h in hs) > len(hs):
-                        fp[g > 3] |= 1 << 21 * lane + per * (g % 4) + j
+            for lane in range(5):
+                for j in range(3):
+                    if 2 * sum(h >> 10 * lane + j & 1 for h in hs) > len(hs):
+                        fp[g // 3] |= 1 << 10 * lane + 3 * (g % 3) + j
             words |= (1 << min(4, len(hs))) - 1 << 4 * g
-        assert (r.f0, r.f1, r.words) == (*fp, words)
+        assert (r.f0, r.f1, r.f2, r.words) == (*fp, words)
 
 
 def test_line_links_connect_what_all_pairs_do(spark):
@@ -217,7 +216,7 @@ def test_line_links_connect_what_all_pairs_do(spark):
     lines = sorted(lines)
     kinds = common.stage(spark.createDataFrame(list(enumerate(lines)), "a long, norm string"), "kinds")
     prints = common.stage(line_dedup.fingerprints(kinds), "prints")
-    keyed, fps = {}, {r.a: (r.f0, r.f1) for r in prints.collect()}
+    keyed, fps = {}, {r.a: (r.f0, r.f1, r.f2) for r in prints.collect()}
     for r in line_dedup.keys(prints).collect():
         keyed.setdefault(r.key, []).append(r.a)
     near = {(i, j) for v in keyed.values() for i in v for j in v if i < j and sum(bin(x ^ y).count("1") for x, y in zip(fps[i], fps[j])) <= line_dedup.BUDGET}
