@@ -146,10 +146,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, op
         encode, end, seq = tokens.encoder(vocabulary).encode, struct.pack("<I", end_id), part << 32
         packer = Packer(window, open_windows, max_waste)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(ids), 1000):
-                full = []
-                for doc, x in zip(ids[k : k + 1000], encode(texts[k : k + 1000])):
+            for k in range(0, batch.num_rows, 1000):
+                rows, full = batch.slice(k, 1000), []
+                for doc, x in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text").to_pylist())):
                     for pieces in packer.add(doc, x + end):
                         full.append((seq, pieces))
                         seq += 1

@@ -7,6 +7,7 @@ that don't depend on the vocabulary, learned like every other feature.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,7 +118,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], buckets:
     model says the only class known, or 1 if there is none.
     """
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dimension, 1 / dimension, (buckets, dimension)).astype(np.float32)
+    vectors = (rng.random((buckets, dimension), dtype=np.float32) * 2 - 1) / np.float32(dimension)
     output, bias = np.zeros((2, dimension), np.float32), np.zeros(2, np.float32)
     counts = np.bincount(np.array(labels, int), minlength=2)
     if counts.min() == 0:
@@ -170,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     sample = rows.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, ids binary, share binary")
-    got = sorted(((r["doc_id"], r["y"], r["ids"], r["share"]) for r in sample.collect()), key=lambda r: (r[0], r[2]))
-    return train([(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(s, "<f4")) for _, _, i, s in got], [y for _, y, _, _ in got])
+    got = sorted(((r["doc_id"], r["y"], r["ids"], r["share"]) for r in sample.toLocalIterator()), key=lambda r: r[0])  # one row an id
+    return train([(np.frombuffer(i, "<i4"), np.frombuffer(s, "<f4")) for _, _, i, s in got], [y for _, y, _, _ in got])
 
 
 class Scorer:
@@ -216,6 +217,13 @@ class Scorer:
         return out
 
 
+def _slices(batches) -> Iterator:
+    """The rows of *batches* in batches of _ROWS."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(k, _ROWS)
+
+
 def _scorer(sent, _kept: dict = {}) -> Scorer:  # noqa: B006
     """This worker process's scorer for a broadcast model; its words serve all the worker's tasks."""
     model = sent.value
@@ -237,7 +245,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         scorer = _scorer(sent)
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -254,7 +262,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
         import pyarrow as pa
 
         scorer = _scorer(sent)
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.filter(pa.array([x >= threshold for x in scorer.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

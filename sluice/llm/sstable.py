@@ -243,9 +243,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
         with store.open_output_stream(final) as out:
             writer = Writer(out)
             for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for k in range(0, len(ids), 1000):
-                    for doc, x in zip(ids[k : k + 1000], encode(texts[k : k + 1000])):
+                for k in range(0, batch.num_rows, 1000):
+                    rows = batch.slice(k, 1000)
+                    for doc, x in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text").to_pylist())):
                         writer.add(doc, x + end)
             writer.close()
         yield pa.RecordBatch.from_pydict(
