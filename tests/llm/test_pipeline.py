@@ -65,3 +65,27 @@ def test_near_duplicates_as_brute_force(spark, monkeypatch):
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, empty texts, repeats, columns of the stages' own names; then no rows at all."""
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, f"{base}\nanother line here", 5), (2, f"{base}\nanother line here", 5), (3, None, None), (4, "", 0), (None, "a line of its own", 3), (5, "token = abcdef123", 1), (5, "token = abcdef123", 1), (None, None, None)]
+    extra = ["gone", "row", "text_", "spans", "secret_spans", "line_text", "_old", "component_id", "score", "key"]
+    table = spark.createDataFrame([(*r, *(["x", None][k % 2] for k in range(len(extra)))) for r in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        got = common.stage(stage(spark, table, sf), "test")
+        out = got.collect()
+        assert got.columns == table.columns and {(r["gone"], r["row"]) for r in out} == {("x", None)}, name
+        assert stage(spark, table.where("false"), sf).count() == 0, name
+        texts = sorted((str(r.doc_id), str(r.text)) for r in out)
+        if name == "line dedup":  # doc 2 has nothing left; equal rows are treated alike
+            assert texts == sorted([("1", rows[0][1]), ("3", "None"), ("4", ""), ("None", "a line of its own"), ("5", "token = abcdef123"), ("5", "token = abcdef123"), ("None", "None")])
+        elif name == "near-duplicates":  # texts without a word are one group
+            assert texts == sorted([("1", rows[0][1]), ("3", "None"), ("None", "a line of its own"), ("None", "None"), ("5", "token = abcdef123"), ("5", "token = abcdef123")])
+        else:
+            assert [t for d, t in texts if d == "5"] == ["[assign]"] * 2 and len(texts) == len(rows)
+    kept = corpus_pipeline.quality_stage(spark, table, sf)
+    assert kept.columns == table.columns and kept.count() <= len(rows)
+    packed = corpus_pipeline.packing_stage(spark, table, sf).collect()
+    assert len(packed) == len(rows) and corpus_pipeline.packing_stage(spark, table.where("false"), sf).count() == 0
