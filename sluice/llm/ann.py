@@ -195,11 +195,11 @@ def _prober(sent, ratio: float, least: int):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-            sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, probe_ratio: float = PROBE_RATIO) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, probe_ratio: float = PROBE_RATIO, most_lists: int = MOST_LISTS) -> DataFrame:
     """The *k* nearest found of each query among *vectors*: query_id, rank, vec_id, score (Euclidean).
 
     Centroids of balanced clusters are fitted on a bounded sample and joined by a graph that every
-    task holds (at most MOST_LISTS centroids).  Every row goes to the list of its nearest centroid, and a row near
+    task holds (at most *most_lists* centroids, and a quarter of *sample_rows*: raise both for tables of many millions of rows).  Every row goes to the list of its nearest centroid, and a row near
     a border to further ones.  A query finds its nearest centroids by the graph and reads every list within a ratio of the nearest
     one's distance (all centroids are looked at where the graph's beam is too narrow for that), and further lists until they have *k* rows besides its own.  Groups of lists are dealt to
     tasks in shards of bounded size and meet their queries there.
@@ -221,7 +221,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     table, asked = table.where(F.size("v") == width), asked.where(F.size("v") == width).distinct()
     sample = table.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     points = _matrix(sample.column("v")).astype(np.float32)
-    lists = int(min(MOST_LISTS, max(1, n // list_rows), max(1, len(points) // 4)))
+    lists = int(min(most_lists, max(1, n // list_rows), max(1, len(points) // 4)))
     with common.workspace(spark):
         return _search(table, asked, Graph.build(balanced_centroids(points, lists)), kind, k, probe_ratio)
 

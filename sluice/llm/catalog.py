@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op5_secret_scan": secret_scan.OP5_SQL,
 }

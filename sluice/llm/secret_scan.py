@@ -174,3 +174,32 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, say), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("secret_spans", say), ",").alias("spans"),
     )
+
+
+def _found_sql(k: int, rule: Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""  SELECT row_id, {k} AS ord, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(body, '{p}') AS gaps,
+         regexp_extract_all(body, '{p}', 0) AS wholes, regexp_extract_all(body, '{p}', {rule.group}) AS sizes FROM t"""
+
+
+OP5_SQL = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS body FROM documents),
+found AS (
+{" UNION ALL ".join(_found_sql(k, r) for k, r in enumerate(RULES))}
+),
+placed AS (SELECT *, unnest(range(1, len(wholes) + 1)) AS i FROM found WHERE len(wholes) > 0),
+spans AS (
+  SELECT row_id, ord, kind, length(wholes[i]) AS size,
+         list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in wholes[1:i - 1]]), 0) AS start
+  FROM placed WHERE length(sizes[i]) >= least
+),
+named AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS name FROM spans),
+said AS (
+  SELECT row_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+         string_agg(name, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(name, ',' ORDER BY start, ord) AS spans
+  FROM named GROUP BY row_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN said USING (row_id)
+"""
