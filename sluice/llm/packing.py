@@ -156,7 +156,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, op
         yield _batch([(seq + k, pieces) for k, pieces in enumerate(packer.rest())], True, part)
 
     spark = docs.sparkSession
-    packed = common.stage(table.mapInArrow(first, _SCHEMA), "packed")
+    packed = common.stage(table.mapInArrow(first, _SCHEMA), "packed", keep=True)
     done = [packed.where("leftover is null")]
     left = packed.where("leftover is not null")
     parts, level = (packed.agg(F.max("part")).first()[0] or 0) + 1, 0
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, op
         parts = -(-parts // fan_in)
 
         grouped = left.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part")
-        merged = common.stage(grouped.applyInArrow(_merge(window, level, parts == 1), _SCHEMA), "packed")
+        merged = common.stage(grouped.applyInArrow(_merge(window, level, parts == 1), _SCHEMA), "packed", keep=True)
         done.append(merged.where("leftover is null"))
         left = merged.where("leftover is not null")
         if parts == 1:

@@ -89,3 +89,12 @@ def test_stages_on_odd_rows(spark, sf):
     assert kept.columns == table.columns and kept.count() <= len(rows)
     packed = corpus_pipeline.packing_stage(spark, table, sf).collect()
     assert len(packed) == len(rows) and corpus_pipeline.packing_stage(spark, table.where("false"), sf).count() == 0
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir") + "/sluice"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert {x.split("-")[0] for x in set(os.listdir(root)) - before} == {"packed"}
