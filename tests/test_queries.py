@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows; the others give rows."""
+"""Every query gives the rows of its SQL in DuckDB."""
 
 import pytest
 from oracle import compare
@@ -11,6 +11,5 @@ def test_same_as_sql(spark, sf, name):
     compare(QUERIES[name](spark, sf), ORACLE_SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_has_rows(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
