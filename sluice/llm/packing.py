@@ -126,7 +126,7 @@ def _merge(window: int, level: int, last: bool):
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, open_windows: int = OPEN_WINDOWS,
-         max_waste: int = MAX_WASTE, fan_in: int = FAN_IN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         max_waste: int = MAX_WASTE, fan_in: int = FAN_IN, id_col: str = "doc_id", text_col: str = "text", cache_words: int = tokens.CACHE_WORDS) -> DataFrame:
     """Pack every document's ids (with *end_id* appended) into sequences of at most *window* ids.
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -136,6 +136,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, op
     isn't full.  The packed rows are written once, so numbers stay fixed when tasks repeat.
     Null texts count as empty (one id); null and repeated ids are kept as they are, a row
     being a document of its own; an empty table gives no rows; other columns aren't read.
+    *cache_words*: words whose ids a worker keeps (about 200 bytes each); it changes nothing but time and memory.
     """
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, op
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, end, seq = tokens.encoder(vocabulary).encode, struct.pack("<I", end_id), part << 32
+        encode, end, seq = tokens.encoder(vocabulary, cache_words).encode, struct.pack("<I", end_id), part << 32
         packer = Packer(window, open_windows, max_waste)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):

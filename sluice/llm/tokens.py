@@ -138,8 +138,8 @@ class WordEncoder:
         ]
 
 
-def encoder(path: str, _kept: dict[str, WordEncoder] = {}) -> WordEncoder:  # noqa: B006
+def encoder(path: str, cache_words: int = CACHE_WORDS, _kept: dict = {}) -> WordEncoder:  # noqa: B006
     """This worker process's encoder for *path*; made once, used by all its tasks."""
-    if path not in _kept:
-        _kept[path] = WordEncoder(path)
-    return _kept[path]
+    if (path, cache_words) not in _kept:
+        _kept[path, cache_words] = WordEncoder(path, cache_words)
+    return _kept[path, cache_words]
