@@ -28,7 +28,7 @@ THRESHOLD = 0.7
 #: Features without a vector that each document has besides its own, so that a few words decide little.
 PRIOR = 60
 #: Words whose parts a worker keeps before it forgets them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 16 << 20
 #: Texts scored together.
 _ROWS = 500
