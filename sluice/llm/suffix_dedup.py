@@ -256,6 +256,7 @@ def _long(data: bytes) -> np.ndarray:
 
 
 def _rows(batch) -> Iterator[dict]:
+    """The packs of a batch or table, one at a time."""
     for k in range(batch.num_rows):
         yield from batch.slice(k, 1).to_pylist()
 
@@ -398,7 +399,7 @@ def _bring(buckets: int, groups: int):
     def run(packs, replies):
         import pyarrow as pa
 
-        rows, told = [], list(_rows(replies))
+        rows, told = [], replies.to_pylist()
         for row in _rows(packs):
             p = _Pack(row)
             group, start, stop, doc = _parts(p, told, buckets)
@@ -469,7 +470,7 @@ def _apply(with_text: bool):
         out = []
         for row in _rows(packs):
             p, n = _Texts(row), row["size"]
-            told = list(_rows(gone_))
+            told = gone_.to_pylist()
             lo, hi = (np.frombuffer(b"".join(r[k] for r in told), np.int64) for k in ("start", "stop"))
             depth = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
             gone = np.cumsum(depth)[:n] > 0
@@ -510,7 +511,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         groups = int(max(12, -(-size // BUCKET_BYTES)))
         # as many tasks as buckets: adaptive execution would join buckets by their few bytes, not by their work
         sent = packs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket")
-        with common.settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4"):  # a row is a pack
+        # a row is a pack, or one of the many small messages between a pack and a bucket: bytes bound a batch, not rows
+        with common.settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
             replies = common.stage(sent.groupBy("bucket").applyInArrow(_judge, _REPLY), "replies")
             brought = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_bring(buckets, groups), _BYTES).repartition(groups, "bucket")
             gone = common.stage(brought.groupBy("bucket").applyInArrow(_compare, _GONE), "gone")

@@ -550,3 +550,18 @@ def test_connected_components(spark):
     got = common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r.id: r.root for r in got} == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
     assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_suffix_dedup_reads_many_small_messages():
+    import time
+
+    import pyarrow as pa
+    import zstandard
+
+    text, n = "0123456789" * 600, 6000
+    ids, lens = np.array([7], np.int64), np.array([len(text)], np.int64)
+    pack = pa.Table.from_pylist([{"pack": 1, "ids": ids.tobytes(), "nulls": b"\0", "lens": lens.tobytes(), "text": zstandard.compress(text.encode()), "size": len(text)}])
+    gone = [pa.table({"bucket": [k], "pack": [1], "start": [np.array([k]).tobytes()], "stop": [np.array([k + 1]).tobytes()]}) for k in range(0, n, 2)]
+    began = time.perf_counter()
+    got = suffix_dedup._apply(False)(pack, pa.concat_tables(gone * 4)).to_pylist()  # each in a batch of its own
+    assert [(r["doc_id"], r["n_removed"], r["n_spans"]) for r in got] == [(7, n // 2, n // 2)] and time.perf_counter() - began < 5
