@@ -109,6 +109,8 @@ def _spans(order: int, rule: Rule, text: str = "body") -> Column:
     return F.filter(common.let(common.let(matches, summed), spans), lambda s: s["size"] >= rule.least)
 
 
+#: Code points of a block and spans of a group when texts are redacted.
+_BLOCK, _GROUP = 1 << 12, 1 << 8
 _SPAN = "array<struct<start:int,ord:int,stop:int,size:int>>"
 
 
@@ -117,8 +119,9 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     with common.workspace(docs.sparkSession):
         index = build_index(keyed.select("key", "text"), rules)
-        found = common.stage(candidates(index, rules), "candidates", keep=True)
-    rows = keyed.join(found, "key", "left").withColumn("body", F.coalesce("text", F.lit("")))
+        found = common.small(common.stage(candidates(index, rules), "candidates", keep=True))
+    # a join that isn't by broadcast moves each text once
+    rows = keyed.select("row", "key").join(found, "key", "left").withColumn("text", F.col(f"row.`{text_col}`")).withColumn("body", F.coalesce("text", F.lit("")))
     empty = F.array().cast(_SPAN)
     per_rule = []
     for k, r in enumerate(rules):
@@ -146,17 +149,35 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """*docs* with every span replaced by its kind in brackets; where spans overlap, the first counts
-    and the rest of a longer one goes with it.  All columns are kept, whatever they are called; null texts stay null."""
+    and the rest of a longer one goes with it.  All columns are kept, whatever they are called; null texts stay null.
+
+    A text is cut into blocks once and its spans are taken in groups, so that a span costs a block's length, not the text's."""
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    text = F.col("text")
-    step = lambda a, s: F.when(
-        s["start"] >= a["at"],
-        F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(kinds, s["ord"])).alias("out"), s["stop"].alias("at")),
-    ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["stop"]).alias("at")))
-    done = F.aggregate(
-        "spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    text, none = F.col("text"), F.array().cast("array<string>")
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        """The text from a to b."""
+        def part(k: Column) -> Column:
+            first = F.greatest(a - k * _BLOCK, F.lit(0))
+            return F.substring(F.get(blocks, k), first + 1, F.least(b - k * _BLOCK, F.lit(_BLOCK)) - first)
+
+        return F.array_join(F.transform(F.sequence(F.floor(a / _BLOCK).cast("int"), F.floor(b / _BLOCK).cast("int")), part), "")
+
+    def replaced(blocks: Column) -> Column:
+        at_ = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+        step = lambda a, s: F.when(
+            s["start"] >= a["at"], at_(s["stop"], F.array_append(a["out"], F.concat(cut(blocks, a["at"], s["start"]), F.get(kinds, s["ord"])))),
+        ).otherwise(at_(F.greatest(a["at"], s["stop"]), a["out"]))
+
+        def group(a: Column, k: Column) -> Column:
+            some = F.aggregate(F.slice("spans", k * _GROUP + 1, _GROUP), at_(a["at"], none), step)
+            return common.let(some, lambda g: at_(g["at"], F.array_append(a["out"], F.array_join(g["out"], ""))))
+
+        groups = F.sequence(F.lit(0), F.floor((F.size("spans") - 1) / _GROUP).cast("int"))
+        return F.aggregate(groups, at_(F.lit(0), none), group, lambda a: F.concat(F.array_join(a["out"], ""), cut(blocks, a["at"], F.length(text))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _BLOCK).cast("int")), lambda k: F.substring(text, k * _BLOCK + 1, F.lit(_BLOCK)))
+    done = common.let(blocks, replaced)
     new = F.when(F.size("spans") > 0, done).otherwise(text)
     return _scanned(docs, rules, id_col, text_col).select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 

@@ -565,3 +565,31 @@ def test_suffix_dedup_reads_many_small_messages():
     began = time.perf_counter()
     got = suffix_dedup._apply(False)(pack, pa.concat_tables(gone * 4)).to_pylist()  # each in a batch of its own
     assert [(r["doc_id"], r["n_removed"], r["n_spans"]) for r in got] == [(7, n // 2, n // 2)] and time.perf_counter() - began < 5
+
+
+def test_redaction_cuts_blocks_and_groups(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(secret_scan, "_BLOCK", 8)
+    monkeypatch.setattr(secret_scan, "_GROUP", 2)
+    bits = ["token=abcdef0123456789abcdef0123", "AKIA" + "Z" * 16, "0123456789abcdef" * 2, "ñadé ☃", " ", "x", "password: deadbeefdeadbeefdeadbeefdead"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(k))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.secret_spans for r in secret_scan.scan(frame).collect()}
+    want = []
+    for d, t in rows:
+        out, at = "", 0
+        for s in spans[d]:
+            if s.start >= at:
+                out += t[at : s.start] + f"[{secret_scan.RULES[s.ord].kind}]"
+            at = max(at, s.stop)
+        want.append((d, out + t[at:]))
+    assert sorted(tuple(r) for r in secret_scan.redact(frame).collect()) == want and sum(map(len, spans.values())) > 100
+
+
+def test_redaction_of_a_text_with_many_secrets(spark):
+    import time
+
+    n = 32_000
+    frame = spark.createDataFrame([(1, " ".join(f"deadbeefdeadbeefdeadbeef{i:06x}" for i in range(n)))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert secret_scan.redact(frame).first().text == " ".join(["[hex]"] * n) and time.perf_counter() - began < 40
