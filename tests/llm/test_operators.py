@@ -253,6 +253,34 @@ def test_line_dedup_finds_lines_that_are_alike(spark):
     assert sum(hit) >= 0.9 * len(hit) and sum(hit[k] for k in short) >= 0.85 * len(short) > 0
 
 
+def test_lines_of_few_words_link_to_every_line_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeilnors") for _ in range(rng.randint(1, 7)))
+    lines = {"a", "ab", "la ja", "la ra", "all rights reserved", "all rights reservd", "heaon " * 90 + "and", "heaon " * 88 + "und", "x" * 700, "x" * 580 + "y" * 120, "漢字の行です" * 9, "漢字の行です" * 8 + "漢字"}
+    for _ in range(60):
+        base = " ".join(word() for _ in range(rng.randint(1, 8)))
+        lines.add(base)
+        for _ in range(3):
+            new = list(base)
+            for _ in range(rng.randint(1, 1 + len(new) // 5)):
+                k = rng.randrange(len(new))
+                new[k : k + 1] = rng.choice([[], [rng.choice("abc ")], [new[k], "e"]])
+            lines.add(" ".join("".join(new).split()) or "z")
+    lines = sorted(lines)
+    want = {(i, j) for j in range(len(lines)) for i in range(j) if min(len(set(lines[k].split(" "))) for k in (i, j)) < line_dedup.FEW and abs(len(lines[i]) - len(lines[j])) <= 0.2 * max(len(lines[i]), len(lines[j])) and alike(lines[i], lines[j])}
+    kinds = common.stage(spark.createDataFrame(list(enumerate(lines)), "a long, norm string"), "kinds")
+    prints = common.stage(line_dedup.fingerprints(kinds), "prints")
+    found = {(r.src, r.dst) for r in line_dedup.few_word_links(kinds, prints).collect()}
+    assert len(want) > 60 and want <= found and all(alike(lines[i], lines[j]) for i, j in found)
+    met = {r.id: r.root for r in common.connected_components(line_dedup.line_links(kinds, prints)).collect()}
+    assert any(met.get(i, -1) != met.get(j, -2) for i, j in want)  # without them links are lost
+    monkeypatch.setattr(line_dedup, "FEW_CHARS", 500)  # several broadcasts
+    assert {(r.src, r.dst) for r in line_dedup.few_word_links(kinds, prints).collect()} == found
+    docs = line_frame(spark, [(1, "all rights reserved"), (2, "all rights reservd"), (3, "something else")])
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
+    assert line_dedup.few_word_links(kinds.where("false"), prints.where("false")).count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(300)] + [(300 + k, [1.0] * 8) for k in range(40)]
