@@ -62,6 +62,12 @@ def test_near_duplicates_as_brute_force(spark, monkeypatch):
     assert between > 50 and got == want
 
 
+def test_line_stage_drops_lines_of_few_words_that_are_alike(spark):
+    docs = spark.createDataFrame([(1, "all rights reserved", 19), (2, "all rights reservd\nsome more here", 33), (3, "la ja", 5), (4, "la ra", 5)], "doc_id long, text string, n_chars int")
+    got = corpus_pipeline.line_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "all rights reserved"), (2, "some more here"), (3, "la ja")]
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
