@@ -1,6 +1,8 @@
 """The pipeline's stages, and the queries of the subpackage."""
 
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 import pytest
@@ -68,6 +70,24 @@ def test_line_stage_drops_lines_of_few_words_that_are_alike(spark):
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "all rights reserved"), (2, "some more here"), (3, "la ja")]
 
 
+def test_driver_keeps_few_threads(tmp_path):
+    """The pools look at their settings once, so in a process of its own."""
+    code = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from sluice.llm import common
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+with common.workspace(spark):
+    for k in range(12):
+        df = spark.range(20).selectExpr("id", "id % 7 as k")
+        common.stage(df.groupBy("k").count().join(df, "k").groupBy("id").count(), "t")
+names = [t.getThreadName() for t in spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean().dumpAllThreads(False, False)]
+print("THREADS", sum(n.startswith(("shuffle-exchange", "broadcast-exchange")) for n in names))
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, timeout=200, check=True).stdout
+    assert 0 < int(out.split("THREADS")[1]) <= 2 * common.POOL_THREADS
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
