@@ -281,6 +281,42 @@ def test_lines_of_few_words_link_to_every_line_alike(spark, monkeypatch):
     assert line_dedup.few_word_links(kinds.where("false"), prints.where("false")).count() == 0
 
 
+def test_lines_that_share_word_pairs_link(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeilnors") for _ in range(rng.randint(2, 9)))
+    often = [word() for _ in range(12)]
+    lines = {"in erre to it rendon whrehe at of", "in erre to it therbl whrehe at of"}
+    for _ in range(40):
+        base = [rng.choice(often) if rng.random() < 0.4 else word() for _ in range(rng.choice([9, 30, 80]))]
+        lines.add(" ".join(base))
+        for _ in range(2):
+            new = list(base)
+            for k in sorted(rng.sample(range(len(new)), len(new) // 8), reverse=True):
+                new[k : k + 1] = rng.choice([[word()], [], [new[k], word()]])
+            lines.add(" ".join(new))
+    lines = sorted(lines)
+
+    def jaccard(s, t):
+        a, b = (set(zip(w, w[1:])) for w in (s.split(" "), t.split(" ")))
+        return len(a & b) / len(a | b)
+
+    want = [(i, j) for j in range(len(lines)) for i in range(j) if jaccard(lines[i], lines[j]) >= line_dedup.PAIRED and alike(lines[i], lines[j])]
+    kinds = common.stage(spark.createDataFrame(list(enumerate(lines)), "a long, norm string"), "kinds")
+    before = common.stage(line_dedup.line_links(kinds, common.stage(line_dedup.fingerprints(kinds), "prints")), "links")
+    parted = lambda links: {(i, j) for met in [{r.id: r.root for r in common.connected_components(links).collect()}] for i, j in want if met.get(i, -1) != met.get(j, -2)}
+    assert len(want) > 40 and parted(before)  # without them links are lost
+    none = before.where("false")
+    for counted in (line_dedup.COUNTED_LINES, 1):  # at 1 many pairs are marked as frequent
+        monkeypatch.setattr(line_dedup, "COUNTED_LINES", counted)
+        for known in (before, none):
+            links = line_dedup.word_pair_links(kinds, known)
+            assert not parted(links) and all(alike(lines[r.src], lines[r.dst]) for r in links.collect())
+    assert line_dedup.word_pair_links(kinds.where("false"), none).count() == 0
+    a, b = min(parted(before))
+    docs = line_frame(spark, [(1, lines[a]), (2, lines[b])])
+    assert sorted(r.n_removed for r in line_dedup.dedup_lines(docs).collect()) == [0, 1]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(300)] + [(300 + k, [1.0] * 8) for k in range(40)]
