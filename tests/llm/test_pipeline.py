@@ -88,6 +88,15 @@ print("THREADS", sum(n.startswith(("shuffle-exchange", "broadcast-exchange")) fo
     assert 0 < int(out.split("THREADS")[1]) <= 2 * common.POOL_THREADS
 
 
+def test_driver_gives_free_memory_back(spark, monkeypatch):
+    called, real = [], common.return_memory
+    monkeypatch.setattr(common, "return_memory", lambda s: called.append(real(s)))
+    with common.workspace(spark):
+        for _ in range(2 * common.GARBAGE_TABLES):
+            common.stage(spark.range(3), "t")
+    assert called == [True, True]
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
