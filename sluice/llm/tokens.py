@@ -10,6 +10,8 @@ from array import array
 #: Words kept in a worker's memory before the store is emptied and filled anew.
 CACHE_WORDS = 1_200_000
 CACHE_CHARS = 24 << 20
+#: New words that the library encodes in one call.
+TOGETHER = 200
 
 
 def vocabulary(name: str) -> str:
@@ -73,12 +75,27 @@ class WordEncoder:
     def _learn(self, texts: set[str]) -> None:
         """Inner pieces: those that follow a space. False: that space can't be cut at."""
         unsafe = {p for p in texts if not p or p[0].isspace() or p[-1].isspace()}
-        safe = list(texts - unsafe)
+        safe = texts - unsafe
         self._chars += sum(map(len, texts))
-        if len(self._inner) + len(texts) > self._limit:
-            self._inner.clear()
-        self._inner.update(dict.fromkeys(unsafe, False))
-        self._inner.update(zip(safe, self._encode([" " + p for p in safe])))
+        inner = self._inner
+        if len(inner) + len(texts) > self._limit:
+            inner.clear()
+        inner.update(dict.fromkeys(unsafe, False))
+        rest, alone = [], []
+        for p in safe:
+            (alone if p.isalpha() else rest).append(p)
+        for k in range(0, len(alone), TOGETHER):  # pieces of one word of the splitting rule, in one call
+            some = alone[k : k + TOGETHER]
+            got = self._tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ids, starts = array("I", got.ids).tobytes(), {}
+            for at, word in enumerate(got.word_ids):
+                starts.setdefault(word, 4 * at)
+            if len(starts) == len(some):
+                at = [*starts.values(), len(ids)]
+                inner.update(zip(some, map(ids.__getitem__, map(slice, at, at[1:]))))
+            else:  # the library parts a word that Python takes for one
+                rest += some
+        inner.update(zip(rest, self._encode([" " + p for p in rest])))
 
     def _pieces(self, words: list[str]) -> list[str]:
         out, last = [], words[0]
@@ -113,17 +130,26 @@ class WordEncoder:
     def _plain(self, texts: list[str | None]) -> list[bytes]:
         self._forget_much()
         split = [(t or "").split(" ") for t in texts]
-        got = [list(map(self._inner.get, words[1:])) for words in split]
+        got = [list(map(self._inner.get, words)) for words in split]
         lack: set[str] = set()
+        holes = []
         for words, found in zip(split, got):
-            if None in found:
-                lack.update(w for w, x in zip(words[1:], found) if x is None)
+            found[0] = b""  # the first piece follows no space
+            holes.append(at := [i for i, x in enumerate(found) if not x])
+            lack.update(map(words.__getitem__, at[1:]))
+        lack -= self._inner.keys()
         if lack:
             self._learn(lack)
-            for k, words in enumerate(split):
-                if None in got[k]:
-                    got[k] = [self._inner[w] if x is None else x for w, x in zip(words[1:], got[k])]
-        slow = [k for k, words in enumerate(split) if False in got[k] or (len(words) > 1 and (not words[0] or words[0][-1].isspace()))]
+        slow = []
+        for k, (words, found, at) in enumerate(zip(split, got, holes)):
+            if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
+                slow.append(k)
+                continue
+            for i in at[1:]:
+                if (x := self._inner.get(words[i], False)) is False:
+                    slow.append(k)
+                    break
+                found[i] = x
         parts = {k: self._pieces(split[k]) for k in slow}
         firsts = {w[0] for k, w in enumerate(split) if k not in parts} | {p for x in parts.values() for p in x}
         new = list(firsts - self._whole.keys())

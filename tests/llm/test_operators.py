@@ -317,6 +317,29 @@ def test_lines_that_share_word_pairs_link(spark, monkeypatch):
     assert sorted(r.n_removed for r in line_dedup.dedup_lines(docs).collect()) == [0, 1]
 
 
+def test_new_words_are_encoded_together():
+    rng = random.Random(8)
+    encoder = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+    plain, calls = encoder._tokenizer, []
+
+    class Counting:
+        model = type("Model", (), {"tokenize": staticmethod(lambda word: calls.append(word) or plain.model.tokenize(word))})
+
+        def encode(self, text, **options):
+            calls.append(text)
+            return plain.encode(text, **options)
+
+    encoder._tokenizer = Counting()
+    text = " ".join("".join(rng.choice("abcdeéßñ漢") for _ in range(9)) for _ in range(2000))
+    want = lambda x: struct.pack(f"<{len(ids := plain.encode(x, add_special_tokens=False).ids)}I", *ids)
+    assert encoder.encode([text, None, text]) == [want(text), b"", want(text)]
+    assert len(calls) <= 2000 / tokens.TOGETHER + 5
+    small = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"), 30)  # emptied again and again, with pieces that can't be cut at
+    words = ["  a", "b\n", "\n", "", "x1", "'s", "été", "一", "ª", "\u0345"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "c", "dd"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    assert [small.encode([x])[0] for x in texts] == [want(x) for x in texts]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(300)] + [(300 + k, [1.0] * 8) for k in range(40)]
