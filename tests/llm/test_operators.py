@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import re
 import struct
@@ -10,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sluice.llm import ann, common, exact_dedup, line_dedup, packing, pieces, quality, secret_scan, simhash, sstable, suffix_dedup, tokens, trigrams
+from sluice.llm import ann, common, exact_dedup, line_dedup, packing, pieces, quality, secret_scan, shingle_sets, simhash, sstable, suffix_dedup, tokens, trigrams
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -317,6 +318,31 @@ def test_lines_that_share_word_pairs_link(spark, monkeypatch):
     assert sorted(r.n_removed for r in line_dedup.dedup_lines(docs).collect()) == [0, 1]
 
 
+def test_word_pairs_are_dealt_with_in_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    often = ["".join(rng.choice("abcdeilnors") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(often) for _ in range(30)]
+        lines += [" ".join(base), " ".join(base[:7] + ["new"] + base[8:])]
+    kinds = common.stage(spark.createDataFrame(list(enumerate(lines)), "a long, norm string"), "kinds")
+    none, plain, written = spark.createDataFrame([], "src long, dst long"), common.stage, []
+
+    def stage(df, label, keep=False):
+        out = plain(df, label, keep)
+        written.extend((label, out.count(), f.removeprefix("file://")) for f in out.inputFiles()[:1])
+        return out
+
+    monkeypatch.setattr(shingle_sets, "ROUNDS", 3, raising=False)
+    monkeypatch.setattr(shingle_sets, "ROUND_KEYS", 100, raising=False)
+    monkeypatch.setattr(common, "stage", stage)
+    links = line_dedup.word_pair_links(kinds, none)
+    keyed = [(n, f) for label, n, f in written if label in ("met", "members")]
+    assert max(n for n, _ in keyed) < sum(n for n, _ in keyed) / 2  # no table has the rows of all keys
+    assert not any(os.path.exists(f) for _, f in keyed)
+    assert {(r.src, r.dst) for r in links.collect()} == {(k, k + 1) for k in range(0, len(lines), 2)}
+
+
 def test_new_words_are_encoded_together():
     rng = random.Random(8)
     encoder = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"))
