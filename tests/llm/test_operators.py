@@ -343,6 +343,14 @@ def test_word_pairs_are_dealt_with_in_rounds(spark, monkeypatch):
     assert {(r.src, r.dst) for r in links.collect()} == {(k, k + 1) for k in range(0, len(lines), 2)}
 
 
+def test_keys_of_fingerprints_are_dealt_with_in_rounds(spark):
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(d, " ".join(rng.choice(WORDS) for _ in range(9))) for d in range(40)], "a long, norm string")
+    prints = common.stage(line_dedup.fingerprints(rows), "prints")
+    parts = [line_dedup.keys(prints, k, 3).collect() for k in range(3)]
+    assert all(parts) and sorted(sum(parts, [])) == sorted(line_dedup.keys(prints).collect())
+
+
 def test_new_words_are_encoded_together():
     rng = random.Random(8)
     encoder = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"))
