@@ -270,7 +270,7 @@ def _blobs(names: list[str], rows: list[tuple]):
 
 _SENT = "bucket int, pack long, anchor binary, whole binary, least binary"
 _REPLY = "bucket int, pack long, pos binary, least binary, packs binary, flags binary"
-_BYTES = "bucket int, pack long, part binary, start binary, lens binary, least binary, bytes binary"
+_BYTES = "bucket int, pack long, part binary, start binary, lens binary, least binary, bytes binary, twin binary, again binary"
 _GONE = "bucket int, pack long, start binary, stop binary"
 #: What a bucket says of a segment: its bytes are to meet those of other segments of its anchor, an anchor with very many
 #: of them, or those of copies (with the least document).
@@ -351,8 +351,22 @@ def _runs(p: _Pack, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     return at[cut], at[np.append(cut[1:], True)] if len(at) else at
 
 
+def _equal(data: np.ndarray, one: np.ndarray, other: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether the *lens* bytes (one at least) from *one* and from *other* are the same."""
+    out, step = np.ones(len(lens), bool), max(1, _SLICE // (2 * LENGTH))
+    for at in range(0, len(lens), step):
+        x, y, n = one[at : at + step], other[at : at + step], lens[at : at + step]
+        begin = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(begin, n)
+        out[at : at + step] = np.logical_and.reduceat(data[np.repeat(x, n) + place] == data[np.repeat(y, n) + place], begin)
+    return out
+
+
 def _parts(p: _Pack, replies: list[dict], buckets: int) -> tuple[np.ndarray, ...]:
-    """What a pack has to bring: parts' groups, first bytes, bytes behind them, documents.  Even groups are a document's with its copies'."""
+    """What a pack has to bring: parts' groups, first bytes, bytes behind them, documents.  Even groups are a document's with its copies'.
+
+    Then parts whose bytes their document has again (they are brought once), and where.
+    """
     numbers = p.numbers(buckets)
     least, packs, flags = p.doc[p.first].copy(), np.ones(len(p.first), np.int64), np.zeros(len(p.first), np.uint8)
     for r in replies:
@@ -382,15 +396,30 @@ def _parts(p: _Pack, replies: list[dict], buckets: int) -> tuple[np.ndarray, ...
     salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     here, there = np.repeat(here, many), np.repeat(there, many)
     bring(group_of(p.doc[here], salts[p.kind[here]], salt), p.lo[here], p.hi[there] + LENGTH, p.doc[here])
-    at = p.first[flags & _DIFFER > 0]
+    # a document that has a segment more than once is to lose the same bytes of each
+    twin = np.flatnonzero((flags[p.kind] & (_DIFFER | _HOT) > 0) & (p.doc == p.doc[p.first][p.kind]) & (p.first[p.kind] != np.arange(len(p.kind))))
+    rep = p.first[p.kind[twin]]
+    same = p.hi[twin] - p.lo[twin] == p.hi[rep] - p.lo[rep]
+    same[same] = _equal(p.data, p.lo[twin[same]], p.lo[rep[same]], p.hi[rep[same]] + LENGTH - p.lo[rep[same]])
+    other, twin, rep = twin[~same], twin[same], rep[same]  # hashes that are equal by chance
+    at = np.concatenate([p.first[flags & _DIFFER > 0], other[flags[p.kind[other]] & _DIFFER > 0]])
+    number = np.zeros(len(p.kind), np.int64)
+    number[at] = sum(len(x[0]) for x in out) + np.arange(len(at))
+    mine = flags[p.kind[twin]] & _DIFFER > 0
+    again, place = [number[rep[mine]]], [p.lo[twin[mine]]]
     bring(p.anchor[at] | _U(1), p.lo[at], p.hi[at] + LENGTH, p.doc[at])
-    at = p.first[flags & _HOT > 0]
+    at = np.concatenate([p.first[flags & _HOT > 0], other[flags[p.kind[other]] & _HOT > 0]])
     count = p.hi[at] - p.lo[at] + 1
+    number[at] = sum(len(x[0]) for x in out) + np.cumsum(count) - count
+    many = (p.hi[rep] - p.lo[rep] + 1)[~mine]
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    again.append(np.repeat(number[rep[~mine]], many) + step)
+    place.append(np.repeat(p.lo[twin[~mine]], many) + step)
     at = np.repeat(at, count)
     window = p.lo[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     whole = _mix(p.grams[window]) + p.grams[window + LENGTH - K] * _U(_BASE) + p.data[window + K].astype(np.uint64) * _U(256) + p.data[window + K + 1]
     bring(_mix(whole) << _U(1), window, window + LENGTH, p.doc[at])
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return *(np.concatenate(x) for x in zip(*out)), np.concatenate(again), np.concatenate(place)
 
 
 def _bring(buckets: int, groups: int):
@@ -402,12 +431,20 @@ def _bring(buckets: int, groups: int):
         rows, told = [], replies.to_pylist()
         for row in _rows(packs):
             p = _Pack(row)
-            group, start, stop, doc = _parts(p, told, buckets)
+            group, start, stop, doc, again, place = _parts(p, told, buckets)
             bucket = (_mix(group >> _U(1)) >> _U(32)) * _U(groups) >> _U(32)
             order = np.lexsort((group, bucket))
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            again = number[again]
+            by_number = np.argsort(again, kind="stable")
+            again, place, at = again[by_number], place[by_number], 0
             for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
                 raw = b"".join([p.data[x:y].tobytes() for x, y in zip(start[i].tolist(), stop[i].tolist())])
-                rows.append((int(bucket[i[0]]), p.pack, group[i].tobytes(), start[i].tobytes(), (stop - start)[i].tobytes(), doc[i].tobytes(), raw))
+                x, y = np.searchsorted(again, (at, at + len(i)))
+                twins = ((again[x:y] - at).astype(np.uint32).tobytes(), place[x:y].tobytes())
+                rows.append((int(bucket[i[0]]), p.pack, group[i].tobytes(), start[i].tobytes(), (stop - start)[i].tobytes(), doc[i].tobytes(), raw, *twins))
+                at += len(i)
         return pa.table(_blobs(_names(_BYTES), rows), names=_names(_BYTES))
 
     return run
@@ -441,7 +478,7 @@ def _compare(table):
     """Bytes of a bucket's parts under windows that a part with a smaller document holds too."""
     import pyarrow as pa
 
-    col = {n: table.column(n).to_pylist() for n in ("pack", "part", "start", "lens", "least", "bytes")}
+    col = {n: table.column(n).to_pylist() for n in ("pack", "part", "start", "lens", "least", "bytes", "twin", "again")}
     group = np.frombuffer(b"".join(col["part"]), np.uint64)
     start, lens, least = (np.frombuffer(b"".join(col[n]), np.int64) for n in ("start", "lens", "least"))
     counts = [len(x) // 8 for x in col["lens"]]
@@ -452,9 +489,18 @@ def _compare(table):
     for i in _batches(group, lens, least, BATCH_BYTES):
         parts = [col["bytes"][r][x : x + n] for r, x, n in zip(row[i].tolist(), begin[i].tolist(), lens[i].tolist())]
         part, first, stop = shared_windows(parts, least[i])
-        part = i[part]
-        found.append((row[part], start[part] + first, start[part] + stop))
-    row, first, stop = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        found.append((i[part], first, stop))
+    part, first, stop = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    # each part's places: its own and where its document has its bytes again
+    sizes = [len(x) // 4 for x in col["twin"]]
+    twin = np.frombuffer(b"".join(col["twin"]), np.uint32) + np.repeat(np.cumsum(counts) - counts, sizes)
+    order = np.argsort(np.concatenate([np.arange(len(lens)), twin]), kind="stable")
+    places = np.concatenate([start, np.frombuffer(b"".join(col["again"]), np.int64)])[order]
+    many = 1 + np.bincount(twin, minlength=len(lens))
+    begin = (np.cumsum(many) - many)[part]
+    many = many[part]
+    at = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    row, first, stop = np.repeat(row[part], many), places[at] + np.repeat(first, many), places[at] + np.repeat(stop, many)
     order, bucket = np.argsort(row, kind="stable"), table.column("bucket")[0].as_py()
     rows = [(bucket, col["pack"][row[i[0]]], first[i].tobytes(), stop[i].tobytes()) for i in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(i)]
     return pa.table(_blobs(_names(_GONE), rows), names=_names(_GONE))

@@ -714,3 +714,15 @@ def test_redaction_of_a_text_with_many_secrets(spark):
     frame = spark.createDataFrame([(1, " ".join(f"deadbeefdeadbeefdeadbeef{i:06x}" for i in range(n)))], "doc_id long, text string")
     began = time.perf_counter()
     assert secret_scan.redact(frame).first().text == " ".join(["[hex]"] * n) and time.perf_counter() - began < 40
+
+
+def test_suffix_dedup_of_strings_that_a_document_has_twice(spark):
+    """A document loses an earlier one's string wherever it has it, if its segments hold more than the string, too."""
+    rng = random.Random(7)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared, end = part(50), part(30)
+    twice = shared + end
+    rows = [(1, shared + part(30)), (5, part(40) + twice + part(90) + twice + part(20) + twice), (9, twice + part(60) + twice), (9, part(5) + twice), (12, "a" * 70 + "b" + "a" * 70), (11, "ca" + "a" * 55)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {r.doc_id: r.n_removed for r in got}[5] == 150
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
