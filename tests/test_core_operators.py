@@ -282,3 +282,19 @@ def test_slices_are_contiguous_and_csv_texts_read(spark):
     assert [[r[0] for r in part] for part in df.rdd.glom().collect()] == [[0, 1, 2], [3, 4, 5], [6, 7, 8, 9]]
     lines = spark.createDataFrame([('1,"a, b"',), (None,), ("",)], "value string")
     assert [tuple(r) for r in io.csv_lines(lines, "k int, name string").collect()][0] == (1, "a, b")
+
+
+def test_jdbc_is_read_in_other_processes(sf, tmp_path):
+    """Executors of their own, which see neither the driver's memory nor each other's."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from sluice.plans.catalog import QUERIES
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.local.dir", {str(tmp_path)!r}).getOrCreate()
+rows = QUERIES["scan_jdbc"](spark, {sf!r}).collect()
+print("rows", len(rows), sorted({{r.way for r in rows}}), sum(r.k for r in rows))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert "rows 75 ['predicates', 'ranges', 'whole'] 900" in done.stdout, done.stderr[-3000:]
