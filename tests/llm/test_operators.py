@@ -726,3 +726,16 @@ def test_suffix_dedup_of_strings_that_a_document_has_twice(spark):
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert {r.doc_id: r.n_removed for r in got}[5] == 150
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
+
+
+def test_long_lines_of_few_words_are_sorted_out_by_counts(spark, monkeypatch):
+    """Lines over MARKED characters that differ too much by counts of late characters never reach the distance; no link goes for that."""
+    rows = [(1, "ha 😀ho " * 40 + "x"), (2, "ha 😀ho " * 38 + "ha 😀ju " * 2 + "x"), (3, "pulu 😀dh " * 32 + "x"), (4, "ab"), (5, "abc")]
+    kinds = spark.createDataFrame(rows, "a long, norm string")
+    prints = line_dedup.fingerprints(kinds)
+    want = {(1, 2)}
+    assert {tuple(r) for r in line_dedup.few_word_links(kinds, prints).collect()} == want
+    seen = []
+    monkeypatch.setattr(line_dedup.F, "expr", lambda text, f=line_dedup.F.expr: seen.append(text) or f(text))
+    line_dedup.few_word_links(kinds, prints)
+    assert any("levenshtein" in t and all(f"'{c}'" in t for c in line_dedup.COUNTED_LATE) for t in seen)
