@@ -739,3 +739,12 @@ def test_long_lines_of_few_words_are_sorted_out_by_counts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.F, "expr", lambda text, f=line_dedup.F.expr: seen.append(text) or f(text))
     line_dedup.few_word_links(kinds, prints)
     assert any("levenshtein" in t and all(f"'{c}'" in t for c in line_dedup.COUNTED_LATE) for t in seen)
+
+
+def test_tables_are_written_by_methods_that_are_compiled(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "settings", lambda s, f=common.settings, **conf: seen.append(conf) or f(s, **conf))
+    with common.workspace(spark):
+        assert common.stage(spark.range(3), "t").count() == 3
+    assert int(seen[0]["spark__sql__codegen__hugeMethodLimit"]) <= 8000
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
