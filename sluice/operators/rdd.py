@@ -26,6 +26,8 @@ def _order(compare):
     return lambda value: _Placed(value, compare)
 
 
+#: Rows that a task sorts, on average: Python holds them all.
+SORT_ROWS = 100_000
 _POOL = ThreadPoolExecutor(max_workers=4, thread_name_prefix="sluice-async")
 
 
@@ -64,6 +66,17 @@ class Collection:
             out = x if k == 0 else fn(out, x)
         return out
 
+    def _sort_parts(self, least: int | None) -> int:
+        return max(least or 1, -(-self.rdd.count() // SORT_ROWS))
+
+    def sortBy(self, keyfunc, ascending: bool = True, numPartitions: int | None = None) -> Collection:
+        """As the RDD's own, into *numPartitions* parts or more: their number grows with that of the rows."""
+        return Collection(self.rdd.sortBy(keyfunc, ascending, self._sort_parts(numPartitions)))
+
+    def sortByKey(self, ascending: bool = True, numPartitions: int | None = None, keyfunc=lambda x: x) -> Collection:
+        """As the RDD's own, into *numPartitions* parts or more: their number grows with that of the rows."""
+        return Collection(self.rdd.sortByKey(ascending, self._sort_parts(numPartitions), keyfunc))
+
     def map_to_pair(self, fn) -> Collection:
         return Collection(self.rdd.map(fn))
 

@@ -298,3 +298,12 @@ print("rows", len(rows), sorted({{r.way for r in rows}}), sum(r.k for r in rows)
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path)
     assert "rows 75 ['predicates', 'ranges', 'whole'] 900" in done.stdout, done.stderr[-3000:]
+
+
+def test_sorts_have_more_parts_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(rdd, "SORT_ROWS", 10)
+    rows = rdd.Collection.parallelize(spark, [(k * 7 % 95, k) for k in range(95)], 4)
+    for placed in (rows.sortBy(lambda r: -r[0], numPartitions=3), rows.sortByKey(ascending=False, numPartitions=3)):
+        assert placed.getNumPartitions() == 10 and max(map(len, placed.glom().collect())) < 40
+        assert [k for k, _ in placed.collect()] == list(range(94, -1, -1))
+    assert rows.sortBy(lambda r: r[0], numPartitions=30).getNumPartitions() == 30
