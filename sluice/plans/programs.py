@@ -67,23 +67,37 @@ def als_without_gram(ratings: DataFrame, rounds: int = 3, regularization: float
 def als(ratings: DataFrame, features: int = 10, rounds: int = 3, regularization: float = 0.05, seed: int = 1) -> DataFrame:
     """(item_id, factors): alternating least squares with the full normal equations.
 
-    A round joins ratings with the known side, sums the equations' upper triangle per row on the map
-    side, and solves each system by itself; no side is collected to the driver.
+    A round joins ratings with the known side, sums the equations' upper triangle per row, on the map
+    side where that makes less to shuffle, and solves each system by itself; no side is collected to the driver.
     """
-    ratings = loops.hoist(ratings.select("user_id", "item_id", "rating"))
+    ratings = ratings if ratings.is_cached else loops.hoist(ratings.select("user_id", "item_id", "rating"))
     start = F.array(F.avg("rating"), *[(F.pmod(F.xxhash64("item_id", F.lit(seed + k)), F.lit(10_000)) / 1_000_000.0) for k in range(1, features)])
     items = ratings.groupBy("item_id").agg(start.alias("factors"))
+    deal = {c: few_ratings(ratings, c) for c in ("user_id", "item_id")}
+
     def both(known: DataFrame, _: int) -> DataFrame:
-        users = solve_side(ratings, known, "item_id", "user_id", features, regularization)
-        return solve_side(ratings, users, "user_id", "item_id", features, regularization)
+        users = solve_side(ratings, known, "item_id", "user_id", features, regularization, deal["user_id"])
+        return solve_side(ratings, users, "user_id", "item_id", features, regularization, deal["item_id"])
 
     return loops.iterate(items, both, rounds)
 
 
-def solve_side(ratings: DataFrame, known: DataFrame, key: str, other: str, features: int, regularization: float = 0.05) -> DataFrame:
-    """(*other*, factors): least squares of the ratings against the *known* factors of *key*."""
+def few_ratings(ratings: DataFrame, other: str) -> bool:
+    """Whether there are so few ratings for each *other* that a map task has hardly two of the same to sum."""
+    spread = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, kinds = ratings.agg(F.count(F.lit(1)), F.approx_count_distinct(other)).first()
+    return n < 3 * spread * kinds
+
+
+def solve_side(ratings: DataFrame, known: DataFrame, key: str, other: str, features: int, regularization: float = 0.05, deal: bool = False) -> DataFrame:
+    """(*other*, factors): least squares of the ratings against the *known* factors of *key*.
+
+    *deal*: ratings are shuffled, not sums of tasks, which have more columns; all ratings of one *other* come to one task,
+    which adds them up as they come.
+    """
     upper = [(a, b) for a in range(features) for b in range(a, features)]
     rows = ratings.join(known, key).select(other, "rating", *[F.col("factors")[k].alias(f"f{k}") for k in range(features)])
+    rows = rows.repartition(other) if deal else rows
     gram = [F.sum(F.col(f"f{a}") * F.col(f"f{b}")).alias(f"g{a}_{b}") for a, b in upper]
     right = [F.sum(F.col("rating") * F.col(f"f{k}")).alias(f"r{k}") for k in range(features)]
     sums = rows.groupBy(other).agg(F.count(F.lit(1)).alias("n"), *gram, *right)

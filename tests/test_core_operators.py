@@ -307,3 +307,12 @@ def test_sorts_have_more_parts_for_more_rows(spark, monkeypatch):
         assert placed.getNumPartitions() == 10 and max(map(len, placed.glom().collect())) < 40
         assert [k for k, _ in placed.collect()] == list(range(94, -1, -1))
     assert rows.sortBy(lambda r: r[0], numPartitions=30).getNumPartitions() == 30
+
+
+def test_als_deals_ratings_where_tasks_have_nothing_to_sum(spark):
+    rows = [(u, i, 1.0 + (u * 7 + i * 3) % 5) for u in range(40) for i in range(u % 3, 50, 3)]
+    ratings = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+    known = ratings.groupBy("item_id").agg(F.array(F.avg("rating"), F.lit(0.5)).alias("factors"))
+    assert programs.few_ratings(spark.range(1000).select(F.col("id").alias("user_id")), "user_id") and not programs.few_ratings(spark.range(1000).select((F.col("id") % 2).alias("user_id")), "user_id")
+    one, other = ({r.user_id: r.factors for r in programs.solve_side(ratings, known, "item_id", "user_id", 2, deal=d).collect()} for d in (False, True))
+    assert set(one) == set(range(40)) and all(np.allclose(one[u], other[u]) for u in one)
